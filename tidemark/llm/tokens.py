@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bound of the cache: pieces held, those of them that stay when it is full (the first met, which are the frequent ones), and the length of a piece that is held.
-CACHE_PIECES = 600_000
-CACHE_CORE = 300_000
+CACHE_PIECES = 1_200_000
+CACHE_CORE = 800_000
 PIECE_CHARS = 48
 #: Letters that stay letters in lower case and are not composed with others; then signs that are neither space, letter, digit nor apostrophe.
 _SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[-.,;:!?#$%&*()]*")
