@@ -55,6 +55,8 @@ def pack_ids(ids: Iterable[int]) -> bytes:
     if sys.byteorder != "little":
         out.byteswap()
     return out.tobytes()
+#: A space that doesn't open a pre-token with the character after it.
+_SPACES = re.compile(r" (?=\s|$)")
 
 
 class PieceEncoder:
@@ -168,6 +170,28 @@ class PieceEncoder:
         out.update(zip(alone, self.whole([" " + p for p in alone] if self.mode == "bytes" else alone)))
         return [out[p] for p in pieces]
 
+    def pre_tokens(self, text: str) -> list | None:
+        """Names of the text's pieces, to be given to ``spelled``; None if it has to be encoded whole."""
+        if self.mode == "whole" or self.mode == "bytes" and _SPACES.search(text):
+            return None
+        cut: list = self._cut(text)
+        if self.mode == "bytes":
+            cut[0] = (cut[0],)  # no space before it
+        return cut
+
+    def spelled(self, names: Iterable) -> list[str]:
+        """The pieces themselves."""
+        lead = " " if self.mode == "bytes" else ""
+        return [lead + p if type(p) is str else p[0] for p in names]
+
+    def count(self, pieces: list[str]) -> list[int]:
+        """Number of ids of each piece (as ``spelled`` gives them)."""
+        if self.mode != "bytes":
+            return [len(x or b"") // 4 for x in self._pieces(pieces)]
+        inner = iter(self._pieces([p[1:] for p in pieces if p.startswith(" ")]))
+        first = iter(self.whole([p for p in pieces if not p.startswith(" ")]))
+        return [len(next(inner if p.startswith(" ") else first)) // 4 for p in pieces]
+
     def _first(self, pieces: list[str]) -> list[bytes]:
         """Pieces at the start of texts, which have no space before them; not kept."""
         names = list(dict.fromkeys(p for p in pieces if p))
