@@ -1,12 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams."""
 
-from __future__ import annotations
-
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,9 +124,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang string, score double>")
-    def scored(texts):  # noqa: ANN001, ANN202  types of pandas UDFs are given above
-        import pandas as pd
-
+    def scored(texts: pd.Series) -> pd.DataFrame:
         found = [shared.value.predict(t) for t in texts]
         return pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found]})
 
