@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, langid, linededup, packing, pii, simhash, tokencount, tokenfile, warc
+from tidemark.llm import decontamination, embeddings, langid, linededup, packing, pii, simhash, tokencount, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_token_file": op6_token_file,
+    "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
@@ -70,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linededup.ORACLE_SQL,
+    "op7_embeddings": embeddings.ORACLE_SQL,
 }
