@@ -29,7 +29,7 @@ def p95(completions: DataFrame, last: int = LATENCIES) -> DataFrame:
     """The latency at place (n - 1) * 95 / 100, rounded down, of the newest in order; 0 without any."""
     recent = newest(completions.where("latency IS NOT NULL").withColumn("one", F.lit(1)), last, ["one"], ["seq"])
     sample = recent.agg(F.array_sort(F.collect_list("latency")).alias("s"))
-    return sample.select(F.coalesce(F.try_element_at("s", (F.floor((F.size("s") - 1) * 95 / 100) + 1).cast("int")), F.lit(0.0)).alias("p95_ms"))
+    return sample.select(F.when(F.size("s") > 0, F.element_at("s", (F.floor(F.greatest(F.size("s") - 1, F.lit(0)) * 95 / 100) + 1).cast("int"))).otherwise(0.0).alias("p95_ms"))
 
 
 def throughput(completions: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

@@ -47,8 +47,10 @@ class Snapshots:
         before = self.current()
         if number <= before:
             return
+        batch = batch.persist()  # it is read once for writes and once for each kind of delete
         after = apply_batch(self.read(before), batch)
         after.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        batch.unpersist()
         self.spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").json(posixpath.join(self.folder, "current"))
 
     def follow(self, log: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
