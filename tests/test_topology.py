@@ -198,3 +198,31 @@ def test_scale(spark, made):
     got = topology.check_scale(s, made.partitions(spark), 1).first()
     assert (got.read_action, got.write_action) == ("replicate", "merge")
     assert F is not None
+
+
+def test_calls(spark, tmp_path):
+    import json
+
+    from tidemark.plans.api import Store, call
+
+    store = Store(spark, str(tmp_path))
+    say = lambda **x: json.loads(call(store, json.dumps(x)))
+    assert say(call="write", table_id=1, partition_key=10, secondary_key=0, data={"text": "café"}, timestamp=5) == {"waiting": 1}
+    assert say(call="get", table_id=1, partition_key=10, secondary_key=0)["error"] == "NotFound"
+    store.apply()
+    row = {"table_id": 1, "partition_key": 10, "secondary_key": 0, "data": {"text": "café"}, "timestamp": 5}
+    assert say(call="get", table_id=1, partition_key=10, secondary_key=0) == {"rows": [row]}
+    assert say(call="range_size", table_id=1, lower=10, upper=11) == {"rows": [{"payload_bytes": len('{"text":"caf\\u00e9"}')}]}
+    say(call="delete_record", table_id=1, partition_key=10, secondary_key=0, timestamp=5)
+    store.apply()
+    assert say(call="range", table_id=1, lower=0, upper=99) == {"rows": []}
+    assert say(call="range", table_id=1, lower=0, upper=99, include_deleted=True)["rows"][0]["data"] is None
+    assert say(call="count_range", table_id=1, lower=9, upper=3)["error"] == "InvalidArgument"
+    assert say(call="write", table_id=1, partition_key=1, secondary_key=1, data=1)["error"] == "InvalidArgument"
+    assert say(call="nothing")["error"] == "InvalidArgument"
+
+
+def test_some_table_is_checked(spark, made):
+    s = spark.createDataFrame([(1, made.ring(1)[0].partition_id, 0.0, 0.0, 1, 0, 0, "0", 1.0, None)], "table_id long, partition_id string, reads_per_second double, writes_per_second double, contributing_nodes long, read_count long, write_count long, write_position_sum string, window_seconds double, median_write_position long")
+    assert topology.check_some_table(made, s, 0).first().write_action == "merge"
+    assert topology.check_some_table(topology.delete_table(made, 1), s, 0) is None

@@ -45,3 +45,13 @@ def trailing(completions: DataFrame, width_ms: int = 1000) -> DataFrame:
     """For each worker's completions, how many it had in the time up to each, both ends included."""
     before = Window.partitionBy("worker").orderBy("time_ms").rangeBetween(-width_ms, 0)
     return completions.withColumn("recent", F.count("*").over(before))
+
+
+def report(completions: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """A run's report as a row: counts, throughput and latency side by side; each part is one row."""
+    return counts(completions).crossJoin(throughput(completions, start_ms, end_ms)).crossJoin(p95(completions))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Writes a report as lines of JSON."""
+    rows.coalesce(1).write.mode("overwrite").json(path)  # a report is a row

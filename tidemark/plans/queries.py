@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import record_json
 from tidemark.operators import load, lww, reads, replicas, ring, telemetry
-from tidemark.plans import cluster
+from tidemark.plans import cluster, topology
 from tidemark.schema import KEYS
 from tidemark.sources import catalog, fixtures, log, synthetic
 from tidemark.streaming.state import Snapshots
@@ -439,3 +439,91 @@ def load_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = synthetic.records(spark, 7, 1000, 3, base=1000, padding=4)
     return made.select("index", "table_id", "partition_key", "secondary_key", F.decode("data", "UTF-8").alias("payload"))
+
+
+def _cluster(spark: SparkSession, sf_dir: str) -> topology.Cluster:
+    """Both tables on nodes 1 to 4, every replica with all that it owns."""
+    c = topology.Cluster((1, 2, 3, 4, 5), replicas.empty_copies(spark))
+    for t in (1, 2):
+        c = topology.make_table(c, topology.Table(t, f"t{t}", 1, "pk", "sk"), [2, 3, 4])
+    sent = cluster.put(fixtures.wal(spark, sf_dir), c.partitions(spark))
+    return topology.replace(c, copies=replicas.apply_replicated(sent))
+
+
+def _all_live(spark: SparkSession, sf_dir: str, c: topology.Cluster) -> DataFrame:
+    keys = fixtures.wal(spark, sf_dir).select(*KEYS).distinct()
+    return cluster.get_consistent(keys, c.copies, c.partitions(spark)).select(*KEYS, "timestamp", F.hex("data").alias("data_hex"))
+
+
+LIVE = f"{RECORDS} SELECT table_id, partition_key, secondary_key, timestamp, hex(data) AS data_hex FROM records WHERE NOT deleted"
+
+
+@query(LIVE)
+def split_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All live records are read after a partition is split and its data moved."""
+    return _all_live(spark, sf_dir, topology.split_partition(_cluster(spark, sf_dir), 1, 0))
+
+
+@query(LIVE)
+def read_while_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_live(spark, sf_dir, topology.split_published(_cluster(spark, sf_dir), 1, 0))
+
+
+@query(LIVE)
+def merge_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = topology.split_partition(_cluster(spark, sf_dir), 1, 0)
+    return _all_live(spark, sf_dir, topology.merge_partition(c, 1, 0))
+
+
+@query(LIVE)
+def replicate_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition goes to four replicas, then to one."""
+    start = topology.thirds([2, 3, 4])[1].hash_start
+    c = topology.increase_replication(_cluster(spark, sf_dir), 2, start, 4)
+    return _all_live(spark, sf_dir, topology.decrease_replication(c, 2, start, 1))
+
+
+@query(f"{RECORDS} SELECT table_id, count(*) AS n_records FROM records WHERE table_id = 2 GROUP BY table_id")
+def drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = topology.delete_table(_cluster(spark, sf_dir), 1)
+    return c.copies.groupBy(*KEYS).agg(F.count("*").alias("copies")).groupBy("table_id").agg(F.count("*").alias("n_records"))
+
+
+@query(f"""{RECORDS} SELECT seq, CAST(n AS BIGINT) AS n_records FROM (SELECT 2500 AS seq, (SELECT count(*) FROM records WHERE table_id = 1 AND partition_key >= -30 AND partition_key < -10) AS n
+  UNION ALL SELECT 5000, (SELECT count(*) FROM records WHERE table_id = 2 AND partition_key = 10) UNION ALL SELECT 7000, (SELECT count(*) FROM records WHERE table_id = 1))""")
+def would_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deletes = fixtures.mutations(spark, sf_dir).where("kind <> 'write'")
+    return lww.would_delete(_records(spark, sf_dir), deletes).select(F.col("seq").cast("int").alias("seq"), "n_records")
+
+
+@query(f"""{RECORDS}, touched AS (SELECT partition_id, true AS is_write FROM wal WHERE partition_id <> '' UNION ALL SELECT partition_id, false FROM records WHERE partition_id <> '' AND NOT deleted AND table_id = 1 AND partition_key >= 0 AND partition_key < 50)
+  SELECT partition_id, is_write, count(*) AS n FROM touched GROUP BY ALL""")
+def access_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses that a log's writes and a range read make."""
+    read = reads.range_scan(_records(spark, sf_dir), 1, 0, 50)
+    made = reads.write_accesses(fixtures.mutations(spark, sf_dir), 0).unionByName(reads.read_accesses(read, 0))
+    return made.groupBy("partition_id", "is_write").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PARTS} SELECT '{{"table_id":"' || table_id || '","hash_start":"' || hash_start || '","partition_id":"' || partition_id || '","forward_to":' || coalesce('"' || forward_to || '"', 'null')
+  || ',"replicas":[' || array_to_string(list_transform(replicas, lambda r: '"' || r || '"'), ',') || ']}}' AS json FROM parts""")
+def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.as_json(fixtures.ring(spark, forwarding=True))
+
+
+@query()
+def random_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in a random order that a seed fixes."""
+    return catalog.random_nodes(fixtures.nodes(spark), 3, seed=1)
+
+
+@query()
+def table_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.file_size(fixtures.events(spark, sf_dir))
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type <> 'signup') AS completed, count(*) FILTER (WHERE event_type = 'signup') AS seeded, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS reads,
+  count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS writes, count(*) FILTER (WHERE event_type = 'error') AS errors, 0.0::DOUBLE AS current_tps,
+  round(count(*) / 10000000.0::DOUBLE, 1) AS average_tps, (SELECT v[(len(v) - 1) * 95 // 100 + 1] FROM (SELECT list_sort(list(value)) AS v FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 10000))) AS p95_ms FROM events""")
+def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load.report(fixtures.completions(spark, sf_dir), 1_700_000_000_000, 1_710_000_000_000)
