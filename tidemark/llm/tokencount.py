@@ -67,6 +67,13 @@ class _Block:
         return ((both & (BLOCK_DOCS - 1)) << COUNT_BITS | n).astype(np.int32), np.append(starts, len(code))
 
 
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """A row (id, n_bytes, n_tokens, over_limit) for each document, without its ids.
 
@@ -79,7 +86,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A pre-token has one row a block, whose size is bounded by the block, and one that many
     of a block's documents have is spread over SPREAD keys: no frequent word is a hot key.
-    Texts that can't be cut (other runs of spaces) are encoded whole where they are read.
+    Lists travel as packed 32-bit integers.  Texts that can't be cut (other runs of spaces) are encoded whole where they are read.
 
     Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are counted each for itself
     (rows are told apart by their place, not by id); null ids stay.  An empty table gives no
@@ -87,12 +94,12 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     path = tokenizer_path(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
-    lists = f"docs array<int>, block long, ids array<{kind}>, n_bytes array<long>, known array<long>"
+    packed = "docs binary, block long, head binary"
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 22
-        columns = ["word", "spread", "docs", "block", "ids", "n_bytes", "known"]
+        columns = ["word", "spread", "docs", "block", "head"]
 
         def rows(block: _Block, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             n = len(block.ids)
@@ -102,14 +109,10 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, len(words), WORDS):
                 own = bounds[at : at + WORDS + 1]
                 m = len(own) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[at : at + WORDS], pa.string()), pa.array(spread[at : at + WORDS]), pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(entries[own[0] : own[-1]])), pa.array(np.full(m, number)), pa.nulls(m, pa.list_(id_type)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))],
-                    names=columns,
-                )
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.string()), pa.array([number % (1 << 30)], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([number]), pa.array([block.ids], pa.list_(id_type)), pa.array([block.n_bytes], pa.list_(pa.int64())), pa.array([block.known], pa.list_(pa.int64()))],
-                names=columns,
-            )
+                lists = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(((own - own[0]) * 4).astype(np.int32)), pa.py_buffer(entries[own[0] : own[-1]])])
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + WORDS], pa.string()), pa.array(spread[at : at + WORDS]), lists, pa.array(np.full(m, number)), pa.nulls(m, pa.binary())], names=columns)
+            head = _to_bytes(pa.RecordBatch.from_arrays([pa.array(block.ids, id_type), pa.array(block.n_bytes, pa.int64()), pa.array(block.known, pa.int64())], names=["id", "n_bytes", "n_tokens"]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number % (1 << 30)], pa.int32()), pa.nulls(1, pa.binary()), pa.array([number]), pa.array([head], pa.binary())], names=columns)
 
         block, id_type = _Block(), pa.null()
         for batch in batches:
@@ -142,16 +145,14 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 here = at == k
                 total = np.bincount(doc[here], weights=n[here])
                 some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([name], pa.int64()), pa.nulls(1, batch.schema.field("ids").type), pa.nulls(1, pa.list_(pa.int64())), pa.array([total[some].astype(np.int64)], pa.list_(pa.int64()))],
-                    names=["docs", "block", "ids", "n_bytes", "known"],
-                )
+                sums = np.stack([some, total[some].astype(np.int64)]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([sums], pa.binary()), pa.array([name], pa.int64()), pa.nulls(1, pa.binary())], names=["docs", "block", "head"])
 
         for batch in batches:
             word = batch.column("word")
             head = batch.filter(pc.is_null(word))
             if head.num_rows:
-                yield head.select(["docs", "block", "ids", "n_bytes", "known"])
+                yield head.select(["docs", "block", "head"])
             batch = batch.filter(pc.is_valid(word))
             if not batch.num_rows:
                 continue
@@ -161,8 +162,8 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             n = ([last_n] if words[0] == last else []) + pieces.count(new)
             last, last_n = words[-1], n[-1]
             n = np.repeat(n, np.diff(np.append(0, runs.run_ends.to_numpy())))
-            many = pc.list_value_length(batch.column("docs")).to_numpy()
-            entry = batch.column("docs").flatten().to_numpy()
+            many = pc.binary_length(batch.column("docs")).to_numpy() // 4
+            entry = np.frombuffer(b"".join(batch.column("docs").to_pylist()), np.int32)
             held.append((np.repeat(batch.column("block").to_numpy(), many), entry, np.repeat(n, many) * (entry & ((1 << COUNT_BITS) - 1))))
             if sum(len(x[1]) for x in held) >= ENTRIES:
                 yield from sums()
@@ -170,26 +171,27 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block: one with its documents, the others with sums."""
-        number, heads, total = None, None, np.zeros(BLOCK_DOCS, dtype=np.int64)
+        number, head, total = None, None, np.zeros(BLOCK_DOCS, dtype=np.int64)
 
         def done() -> Iterator[pa.RecordBatch]:
-            if heads is not None:
-                ids, n_bytes, known = heads
-                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total[: len(ids)] + known.to_numpy())], names=["id", "n_bytes", "n_tokens"])
+            if head is not None:
+                own = pa.ipc.open_stream(head).read_next_batch()
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("n_bytes"), pa.array(total[: len(own)] + own.column("n_tokens").to_numpy())], names=["id", "n_bytes", "n_tokens"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                if (name := batch.column("block")[i].as_py()) != number:
+            for sums, name, said in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != number:
                     yield from done()
-                    number, heads = name, None
+                    number, head = name, None
                     total[:] = 0
-                if batch.column("ids")[i].is_valid:
-                    heads = tuple(batch.column(c)[i].values for c in ("ids", "n_bytes", "known"))
+                if said is not None:
+                    head = said
                 else:
-                    total[batch.column("docs")[i].values.to_numpy()] += batch.column("known")[i].values.to_numpy()
+                    some, more = np.frombuffer(sums, np.int64).reshape(2, -1)
+                    total[some] += more
         yield from done()
 
-    words = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(listed, f"word string, spread int, {lists}")
-    sums = words.repartition("word", "spread").sortWithinPartitions("word").mapInArrow(counted, lists)
+    words = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(listed, f"word string, spread int, {packed}")
+    sums = words.repartition("word", "spread").sortWithinPartitions("word").mapInArrow(counted, packed)
     total = sums.repartition("block").sortWithinPartitions("block").mapInArrow(added, f"id {kind}, n_bytes long, n_tokens long")
     return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
