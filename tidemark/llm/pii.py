@@ -14,20 +14,23 @@ ASSIGNED = r"(?i:token|secret|key|password|passwd) {0,3}[=:] {0,3}[\"']?"
 NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?"
 #: Prefix and core of entities by type; of those that begin at the same place the first in this order is taken.
 PATTERNS = {
-    "email": ("", r"[\p{L}\p{N}._+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
-    "secret": (rf"(?:{ASSIGNED})", r"[A-Za-z0-9_+/-]{12,}"),
-    "hex": ("", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
-    "iban": ("", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": ("", r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])"),
-    "ssn": ("", r"(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "ip": ("", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
+    "email": ("", r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    "secret": (rf"(?=[tskpTSKP]){ASSIGNED}", r"[A-Za-z0-9_+/-]{12,}"),
+    "hex": ("", r"(?=[0-9a-fA-F])(?<![A-Za-z0-9])(?=[a-fA-F]{0,31}\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
+    "iban": ("", r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": ("", r"(?=\d)(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])"),
+    "ssn": ("", r"(?=\d)(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "ip": ("", r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     "phone": (
         "",
-        r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+        r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
     ),
-    "woman": (rf"(?<!\p{{L}}){WOMAN}", NAME),
-    "man": (rf"(?<!\p{{L}}){MAN}", NAME),
+    "woman": (rf"(?=[MFSГг])(?<!\p{{L}}){WOMAN}", NAME),
+    "man": (rf"(?=[MSHГг])(?<!\p{{L}}){MAN}", NAME),
 }
+#: Every entity but a name has one of these, every name one of the titles: what texts are looked through for first.
+SIGNS = "[0-9@=:]"
+TITLES = ["Mr", "Ms", "Mi", "Mad", "Frau", "Mademoiselle", "Señor", "Госп", "г-", "Sir", "Herr", "Mons"]
 ENTITY = "|".join(f"{prefix}(?:{core})" for prefix, core in PATTERNS.values())
 #: Syllables of surrogate names, and their endings by gender.
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi".split(), "cyrillic": "ба бе би бо да де ди до фа фе га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви".split()}
@@ -156,7 +159,11 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
     spare = docs.drop(*(c for c in docs.columns if c.lower() == count_out.lower()))
     mark, said = fresh(spare, "text_mark", "said")
     found = F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
-    has = F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False))
+    text = F.col(text_col)
+    likely = text.rlike(SIGNS)
+    for title in TITLES:
+        likely = likely | text.contains(title)
+    has = F.coalesce(likely & text.rlike(ENTITY), F.lit(False))
     rows = spare.where(has).withColumn(mark, F.xxhash64(text_col))
     placed = rows.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), found.alias("found")).distinct().select("id", "mark", F.posexplode("found").alias("at", "entity"))
     placed = stored(placed.withColumn("split", split_entity(F.col("entity"))).select("id", "mark", "at", "split.*"), "entities")
