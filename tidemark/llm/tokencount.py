@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import encoder, text_parts, tokenizer_path
 
 #: Documents are numbered within blocks of at most so many characters and documents.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 1 << 18
 #: An entry of a list is a document's number times 2^12 plus an occurrence count; more occurrences take more entries.
 COUNT_BITS = 12
@@ -44,14 +44,14 @@ class _Block:
         self.known.append(known)
         cut = cut or []
         names = self.names
-        self.codes.append(np.array([names.setdefault(p, len(names)) for p in cut], dtype=np.int64))
+        self.codes.append(np.array([names.setdefault(p, len(names)) for p in cut], dtype=np.int32))
         self.sizes.append(len(cut))
         self.chars += len(text)
 
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
         """Entries sorted by pre-token, and where each pre-token's begin (and the end)."""
         doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        both = np.concatenate(self.codes) << 18 | doc if self.codes else doc
+        both = np.concatenate(self.codes).astype(np.int64) << 18 | doc if self.codes else doc
         both.sort()
         begins = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else both
         n = np.diff(np.append(begins, len(both)))
