@@ -63,7 +63,8 @@ def encode_block(values: np.ndarray) -> np.ndarray:
         half = 1 << (c.bit_length() - 1)
         level = levels[half]
         window = level[: n - c + 1] if half == c else np.maximum(level[: n - c + 1], level[c - half : c - half + n - c + 1])
-        best[: n - c + 1][window <= BITS[selector]] = selector
+        if window.min() <= BITS[selector]:
+            np.minimum(best[: n - c + 1], np.where(window <= BITS[selector], np.uint8(selector), np.uint8(15)), out=best[: n - c + 1])
     step = COUNTS[best].tolist()
     at, i = [], 0
     while i < n:

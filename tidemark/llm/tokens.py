@@ -33,11 +33,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_PIECES = 1_200_000
 CACHE_CORE = 800_000
 PIECE_CHARS = 48
-#: Letters that stay letters in lower case and are not composed with others; then signs that are neither space, letter, digit nor apostrophe.
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[-.,;:!?#$%&*()]*")
-#: Pieces given to the library at once, and bytes of text worked on at once.
+#: A word, signs, and perhaps a line end, a word and signs.  Letters that stay letters in lower case and are not composed with others; signs that are neither space, letter, digit nor apostrophe.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?#$%&*()]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?#$%&*()]*))?")
+#: Pieces given to the library at once, and characters of text decoded and encoded at once.
 LIBRARY_BATCH = 4096
-WORK_CHARS = 2_000_000
+WORK_CHARS = 500_000
+ENCODE_CHARS = 30_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,6 +56,13 @@ def pack_ids(ids: Iterable[int]) -> bytes:
     if sys.byteorder != "little":
         out.byteswap()
     return out.tobytes()
+
+
+#: Characters that byte-level vocabularies have for bytes: printable ones for themselves, the others follow from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _PRINTABLE else 256 + sum(c not in _PRINTABLE for c in range(b)) for b in range(256)}
+#: What stands for a piece that can't be cut off; no ids are a single byte.
+_UNCUT = b"-"
 #: A space that doesn't open a pre-token with the character after it.
 _SPACES = re.compile(r" (?=\s|$)")
 
@@ -64,6 +72,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -80,7 +89,13 @@ class PieceEncoder:
             self.mode = "bytes"
         else:
             self.mode = "whole"
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
+        #: Signs, and words without a space before them.
+        self.bare: dict[str, bytes] = {}
+        self.model_alone = Tokenizer(self.tokenizer.model)
+        self.model_alone.pre_tokenizer = Split("Ġ", "merged_with_next") if self.mode == "bytes" else Split(" ", "removed")
+        self.line_end = self.whole(["\n"])[0] if self.mode == "bytes" else b""
+        self.line_end_id = int.from_bytes(self.line_end[:4], "little")
         #: Ids that open a pre-token with a space, or end a pre-token.
         self.marks = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for piece, i in self.tokenizer.get_vocab().items():
@@ -101,8 +116,8 @@ class PieceEncoder:
         return [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; about WORK_CHARS of text are in work at once, but for a longer single text."""
-        return [ids for a, b in in_parts(map(len, texts)) for ids in self._encode(texts[a:b])]
+        """Packed ids of each text; about ENCODE_CHARS of text are in work at once, but for a longer single text."""
+        return [ids for a, b in in_parts(map(len, texts), ENCODE_CHARS) for ids in self._encode(texts[a:b])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
@@ -128,47 +143,92 @@ class PieceEncoder:
             if first is None:
                 out.append(b"".join(ids))
             else:
-                out.append(self.whole([texts[i]])[0] if None in ids else first[i] + b"".join(ids))
+                out.append(self.whole([texts[i]])[0] if _UNCUT in ids else first[i] + b"".join(ids))
         for p in missing:
             if len(p) > PIECE_CHARS:
                 del cache[p]
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of pieces; None for those that can't be cut off in mode ``bytes``.
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; _UNCUT for those that can't be cut off in mode ``bytes``.
 
-        Pieces are joined and encoded together; ids that open (mode ``bytes``) or end
-        (mode ``words``) a pre-token show where each piece's ids begin.
+        A word with signs after it, and a line end with another such word, are pre-tokens of
+        their own: their ids are put together from those of the parts, most of which are known.
         """
-        out: dict[str, bytes | None] = {}
-        joined: list[str] = []
-        alone: list[str] = []
+        out: dict[str, bytes] = {}
+        parts: list[tuple[str, str, str, str | None, str | None]] = []
+        whole: list[str] = []
+        in_words = self.mode == "words"
         for p in pieces:
-            if self.mode == "bytes" and (not p or p[0].isspace()):
-                out[p] = None
+            if not in_words and (not p or p[0].isspace()):
+                out[p] = _UNCUT
             elif not p:
                 out[p] = b""
-            elif self.mode == "bytes" or _SIMPLE.fullmatch(p):
-                joined.append(p)
+            elif m := _SIMPLE.fullmatch(p):
+                word, signs, second, more = m.groups()
+                parts.append((p, word.lower() if in_words else word, signs, second, more))
             else:
-                alone.append(p)
-        for i in range(0, len(joined), LIBRARY_BATCH):
-            part = joined[i : i + LIBRARY_BATCH]
-            text = "".join([" " + p for p in part]) if self.mode == "bytes" else " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            if self.mode == "bytes":
-                begins = np.flatnonzero(self.marks[ids])
+                whole.append(p)
+        cache, bare = self.cache, self.bare
+        if len(bare) > CACHE_CORE // 4:
+            bare.clear()
+        words = {x[1] for x in parts}.difference(cache)
+        signs = {y for x in parts for y in x[2:] if y}.difference(bare)
+        kept = dict(zip(words, self._words(list(words))))
+        bare.update(zip(signs, self._joined(list(signs), led=False)))
+        for p, word, after, second, more in parts:
+            ids = kept[word] if word in kept else cache[word]
+            if after:
+                ids += bare[after]
+            if second:
+                ids += self.line_end + bare[second] + (bare[more] if more else b"")
+            out[p] = ids
+        cache.update((w, ids) for w, ids in kept.items() if len(w) <= PIECE_CHARS)
+        out.update(zip(whole, self._joined(whole, led=True) if not in_words else self.whole(whole)))
+        return [out[p] for p in pieces]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone (in mode ``bytes`` with a space before them): a pre-token each, so the vocabulary's model is all it takes."""
+        out: list[bytes] = []
+        lead = "Ġ" if self.mode == "bytes" else " "
+        for i in range(0, len(words), LIBRARY_BATCH):
+            part = words[i : i + LIBRARY_BATCH]
+            text = lead.join(["", *(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in part)])
+            ids = np.array(self.model_alone.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.marks[ids])
+            begins = at if self.mode == "bytes" else np.append(0, at[:-1] + 1)
+            if len(begins) == len(part):
+                packed, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), len(ids) * 4]
+                out += [packed[a:b] for a, b in zip((begins * 4).tolist(), ends)]
             else:
+                out += self._joined(part, led=True)
+        return out
+
+    def _joined(self, pieces: list[str], led: bool) -> list[bytes]:
+        """Ids of pieces (in mode ``words`` of one pre-token each), encoded together.
+
+        Mode ``words``: each ends with an id that ends a word.  Mode ``bytes``: each begins with
+        one that begins with a space (``led``), or stands after a line end.
+        """
+        out: list[bytes] = []
+        in_words = self.mode == "words"
+        for i in range(0, len(pieces), LIBRARY_BATCH):
+            part = pieces[i : i + LIBRARY_BATCH]
+            text = " ".join(part) if in_words else "".join([" " + p for p in part]) if led else "\n" + "\n".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            if in_words:
                 ends = np.flatnonzero(self.marks[ids]) + 1
-                pre_tokens = np.cumsum([1 if p[-1].isalpha() else 2 for p in part])
-                begins = np.append(0, ends[pre_tokens[:-1] - 1]) if len(ends) == pre_tokens[-1] else ends[:0]
-            if len(begins) != len(part):
-                alone += part
-                continue
-            packed, at = ids.tobytes(), [*(begins * 4).tolist(), len(ids) * 4]
-            out.update((p, packed[a:b]) for p, a, b in zip(part, at, at[1:]))
-        out.update(zip(alone, self.whole([" " + p for p in alone] if self.mode == "bytes" else alone)))
-        return [out[p] for p in pieces]
+                begins = np.append(0, ends[:-1])
+            else:
+                begins = np.flatnonzero(self.marks[ids] if led else ids == self.line_end_id)
+                ends = np.append(begins[1:], len(ids))
+                begins = begins if led else begins + 1
+            if len(begins) == len(part):
+                packed = ids.tobytes()
+                out += [packed[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+            else:
+                out += self.whole([" " + p for p in part] if led and not in_words else part)
+        return out
 
     def pre_tokens(self, text: str) -> list | None:
         """Names of the text's pieces, to be given to ``spelled``; None if it has to be encoded whole."""
@@ -185,18 +245,29 @@ class PieceEncoder:
         return [lead + p if type(p) is str else p[0] for p in names]
 
     def count(self, pieces: list[str]) -> list[int]:
-        """Number of ids of each piece (as ``spelled`` gives them)."""
+        """Number of ids of each piece (as ``spelled`` gives them), best in order: then few known pieces suffice."""
+        if len(self.cache) > CACHE_CORE // 8:
+            self.cache = {}
         if self.mode != "bytes":
-            return [len(x or b"") // 4 for x in self._pieces(pieces)]
+            return [len(x) // 4 for x in self._pieces(pieces)]
         inner = iter(self._pieces([p[1:] for p in pieces if p.startswith(" ")]))
         first = iter(self.whole([p for p in pieces if not p.startswith(" ")]))
         return [len(next(inner if p.startswith(" ") else first)) // 4 for p in pieces]
 
     def _first(self, pieces: list[str]) -> list[bytes]:
-        """Pieces at the start of texts, which have no space before them; not kept."""
-        names = list(dict.fromkeys(p for p in pieces if p))
-        ids = dict(zip(names, self.whole(names)))
-        return [ids.get(p, b"") for p in pieces]
+        """Ids of pieces at the start of texts, which have no space before them."""
+        parts: dict[str, tuple[str, ...] | None] = {}
+        for p in pieces:
+            if p and p not in parts:
+                m = _SIMPLE.fullmatch(p)
+                parts[p] = m.groups() if m else None
+        new = {x for g in parts.values() if g for x in g if x}.difference(self.bare)
+        self.bare.update(zip(new, self._joined(list(new), led=False)))
+        bare = self.bare
+        out = {p: bare[g[0]] + (bare[g[1]] if g[1] else b"") + (self.line_end + bare[g[2]] + (bare[g[3]] if g[3] else b"") if g[2] else b"") for p, g in parts.items() if g}
+        odd = [p for p, g in parts.items() if not g]
+        out.update(zip(odd, self.whole(odd)))
+        return [out.get(p, b"") for p in pieces]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
