@@ -95,6 +95,8 @@ def test_vectors_of_odd_rows(spark):
 def test_vectors_equal_brute_force(spark, monkeypatch):
     """Groups larger than window and chunk, chains, copies and scaled copies."""
     monkeypatch.setattr(embeddings, "CHUNK", 16)
+    monkeypatch.setattr(embeddings, "CHUNKS", 2)
+    monkeypatch.setattr(embeddings, "MOST", 24)
     r = np.random.default_rng(4)
     rows = []
     for g in range(12):

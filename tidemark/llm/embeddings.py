@@ -21,9 +21,10 @@ WINDOW = 64
 LEAST_PASSES = 8
 #: A pair at the threshold meets with this probability in some pass, however many vectors there are.
 RECALL = 0.999
-#: Rows compared at once in a pass, and rows of a component that are compared as one block.
+#: Rows compared at once.
 BLOCK = 256
-CHUNK = 512
+#: Components are cut into chunks of about so many rows, which are compared pair by pair: of 128 in up to 16 chunks, then 16 chunks, then of 4096.
+CHUNK, CHUNKS, MOST = 128, 16, 4096
 
 
 def passes_for(vectors: int, cosine: float, window: int = WINDOW) -> int:
@@ -135,18 +136,25 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     roots = stored(components(ordered.mapInArrow(compared, "a long, b long")), "components")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links within and between the two chunks of each block; rows are sorted by block."""
+        """Links within a chunk or between two, for each block; rows are sorted by block."""
         held: list[pa.RecordBatch] = []
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             ids, n, chunk = (t.column(c).to_numpy() for c in ("class", "n", "chunk"))
             units = _units(t.column("vector").chunk(0))
-            links = units @ units.T >= cosine
-            np.fill_diagonal(links, False)
-            if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
-                links &= chunk[:, None] != chunk[None, :]  # pairs of one chunk have a block of their own
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links @ n)], names=["class", "links"])
+            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            links = np.zeros(len(ids), dtype=np.int64)
+            ours, theirs = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+            for at in range(0, len(ours), BLOCK):
+                some = ours[at : at + BLOCK]
+                near = units[some] @ units[theirs].T >= cosine
+                if lo == hi:
+                    near[np.arange(len(some)), np.arange(at, at + len(some))] = False
+                else:
+                    links[theirs] += n[some] @ near
+                links[some] += near @ n[theirs]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["class", "links"])
 
         last = None
         for batch in batches:
@@ -162,7 +170,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             yield done()
 
     members = stored(roots.join(classes.withColumnRenamed("class", "node"), "node").select(F.col("node").alias("class"), "root", "vector", "n", "first_id"), "members")
-    sizes = stored(members.groupBy("root").agg(F.count("*").alias("m"), F.min("first_id").alias("component_id")).withColumn("k", F.ceil(F.col("m") / CHUNK)), "component_sizes")
+    sizes = stored(members.groupBy("root").agg(F.count("*").alias("m"), F.min("first_id").alias("component_id")).withColumn("k", F.least(F.ceil(F.col("m") / CHUNK), F.greatest(F.lit(CHUNKS), F.ceil(F.col("m") / MOST)))), "component_sizes")
     own = F.pmod(F.xxhash64("class"), F.col("k"))
     placed = skew_join(members, sizes.drop("component_id"), ["root"], "m").withColumn("chunk", own)
     spread = placed.select("root", "class", "vector", "n", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
