@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tokenizers import Tokenizer
 
@@ -60,6 +62,41 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert sum(p.length for p in packed) == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean)
 
 
+def five_word_groups(texts):
+    """Smallest place of each text's group, compared pair by pair."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_dedup_finds_copies_of_similarity_four_fifths(spark, sf_dir):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9999)}" for _ in range(120)]
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(base)]
+    for n in (1, 2, 2, 3, 4) * 30:  # near copies of one text, over and under the limit, more than are common
+        words = list(base)
+        for at in rng.sample(range(120), n):
+            words[at] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(words))
+    texts += [" ".join([f"v{rng.randrange(9999)}" for _ in range(60)] + passage) for _ in range(150)]  # share a passage only
+    texts += [" ".join(f"c{i}" for i in range(n)) for n in (20, 21, 24, 29, 40, 49)]  # chains
+    texts += ["one two", "One two", "", "  "]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    root = five_word_groups(texts)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root)) and len(set(root)) < len(texts) - 50
+    own = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    root = five_word_groups([r.text or "" for r in own])
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(own, DOCS), sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(own[i].doc_id for i in set(root))
+
+
 def test_repeated_rows_leave_one(spark, sf_dir):
     rows = [(1, "a b c d e", "en", "s", 9)] * 3 + [(None, "other words entirely here", None, None, None)] * 2
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()

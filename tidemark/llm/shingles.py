@@ -1,0 +1,147 @@
+"""Near copies by the share of five-word shingles that two texts have in common, found exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import skew_join, stored, text_or_empty
+from tidemark.llm.components import components
+from tidemark.llm.tokens import text_parts
+
+SEED = 42
+SHINGLE = 5
+#: Least Jaccard similarity of near copies, as a fraction.
+OVER, UNDER = 4, 5
+#: A shingle is common if more texts than this, and over a COMMON_SHARE part of all shingles, have it: fewer than COMMON_SHARE are.
+COMMON, COMMON_SHARE = 100, 100_000
+#: Texts of a shingle that are paired at once.
+CHUNK = 256
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted XXH64 of the distinct shingles; words as in ``simhash.fingerprint``, fewer words than a shingle are one."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        parts = [b" ".join(words)] if words else []
+    else:
+        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(p, SEED) for p in parts], dtype=np.uint64)).view(np.int64)
+
+
+def prefix_length(size: int) -> int:
+    """Of so many first shingles, in any order common to all texts, two near copies share one."""
+    return size - -(-size * OVER // UNDER) + 1 if size else 0
+
+
+def first_length(size: int) -> int:
+    """So many first shingles are looked at to begin with: a fifth can be missing in a near copy, a twentieth is for ``first_shared``."""
+    return size // UNDER + -(-size // 20)
+
+
+def first_shared(size: int) -> int:
+    """So many of the first shingles of a near copy are among those of the text: a twentieth of the smaller one's, which has four fifths of the larger one's size or more."""
+    return -(-size // 25)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _near_sizes(x: Column, y: Column) -> Column:
+    return F.least(x, y) * UNDER >= F.greatest(x, y) * OVER
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts whose similarity is large enough, compared shingle by shingle."""
+    for end in ("a", "b"):
+        looked = stored(pairs.groupBy(end).agg(F.count("*").alias("n")).join(sets.select(F.col("sig").alias(end), F.col("shingles").alias(f"{end}_set")), end), "looked")
+        pairs = skew_join(pairs, looked, [end], "n")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.where(both * (OVER + UNDER) >= (F.size("a_set") + F.size("b_set")) * OVER).select("a", "b")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """A row (id, component_id) for each document; component_id is the smallest id that links reach.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is OVER / UNDER at
+    least.  Every link counts, none is left to chance:
+
+    1. Texts with equal sets are one class.  In any order of shingles two near copies share
+       one of their first (``prefix_length``), and more of them if more are looked at;
+       classes that share too few there (``first_length``), in order of hashes, have no near
+       copy and are done.
+    2. Of the others the order is taken again with common shingles last, so that a passage
+       that many texts hold brings together only those that hardly hold anything else.
+    3. Each class is compared with the first of each shingle's classes, which makes most of
+       a large group one component; then classes of a shingle that are not in one component
+       yet are compared pair by pair, in chunks that are spread.
+
+    Null text or no words: one class.  Null ids: never a component's id unless all are null.
+    Repeated rows: one row each.  An empty table gives no rows.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for _, _, part in text_parts(batch.column(1)) for t in part]
+            sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            begins = _lists([np.sort(s.view(np.uint64))[: first_length(len(s))].view(np.int64) for s in sets])
+            need = pa.array([first_shared(len(s)) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), need, begins], names=["id", "sig", "need", "begins"])
+
+    made = stored(texts.mapInArrow(first, f"id {kind}, sig long, need long, begins array<long>"), "shingle_marks")
+    classes = stored(made.groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.min("need").alias("need")), "shingle_classes")
+    grid = made.select("sig", F.explode("begins").alias("shingle"))
+    shared = stored(grid.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared_shingles")
+    hits = skew_join(grid, shared, ["shingle"], "n").groupBy("sig").agg(F.count("*").alias("hits"))
+    wanted = stored(hits.join(classes, "sig").where(F.col("hits") >= F.col("need") * F.col("n")).select("sig", F.col("first_id").alias("wanted_id"), "n"), "open_classes")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for _, _, part in text_parts(batch.column(1)) for t in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["sig", "shingles"])
+
+    read = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted_id"])).select("sig", "text", "n")
+    once = read.where("n = 1").drop("n").unionByName(read.where("n > 1").drop("n").dropDuplicates(["sig"]))  # a row may repeat as it is
+    sets = stored(once.mapInArrow(whole, "sig long, shingles array<long>"), "shingle_sets")
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    many = counted.where(F.col("count") > max(COMMON, total // COMMON_SHARE))
+    common = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r.shingle for r in many.select("shingle").toLocalIterator()], dtype=np.int64)))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sizes = [], []
+            for s in (x.values.to_numpy() for x in batch.column(1)):
+                last = np.isin(s, common.value)
+                out.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s))])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _lists(out)], names=["sig", "size", "begins"])
+
+    placed = stored(sets.mapInArrow(again, "sig long, size long, begins array<long>").select("sig", "size", F.explode("begins").alias("shingle")), "placed_shingles")
+    heads = stored(placed.groupBy("shingle").agg(F.min(F.struct("sig", "size")).alias("head"), F.count("*").alias("n")).where("n > 1"), "shingle_heads")
+    near_head = skew_join(placed, heads, ["shingle"], "n").where((F.col("sig") != F.col("head.sig")) & _near_sizes(F.col("size"), F.col("head.size")))
+    edges = stored(_linked(stored(near_head.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), "head_pairs"), sets), "head_links")
+
+    roots = stored(components(edges), "head_components")
+    named = stored(placed.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "named_shingles")
+    split = stored(named.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most").select("shingle", F.ceil(F.col("n") / CHUNK).alias("k"), "n"), "split_shingles")
+    left = stored(skew_join(named, split, ["shingle"], "n").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("k"))), "split_classes")
+    spread = left.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"), F.col("sig").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    across = left.join(spread, ["shingle", "chunk"]).where((F.col("root") < F.col("b_root")) & _near_sizes(F.col("size"), F.col("b_size")))
+    more = _linked(stored(across.select(F.col("sig").alias("a"), "b").distinct(), "pairs"), sets)
+    roots = components(edges.unionByName(more))
+
+    told = classes.select("sig", "first_id", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    least = told.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    looked = stored(told.join(least, "root").select("sig", "component_id", "n"), "shingle_components")
+    return skew_join(made.select("id", "sig"), looked, ["sig"], "n").select(F.col("id").alias(id_col), "component_id")
