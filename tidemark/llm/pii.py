@@ -2,144 +2,181 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, skew_join, stored
 
-#: What stands before a name or a secret; it stays as it is.
-WOMAN = r"(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа|г-жа)\.? "
-MAN = r"(?:Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Господин|г-н)\.? "
-ASSIGNED = r"(?i:token|secret|key|password|passwd) {0,3}[=:] {0,3}[\"']?"
-NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?"
+#: Titles before a name, by gender; they stay as they are.
+TITLES = {
+    "woman": "Mrs Ms Miss Madam Frau Madame Mademoiselle Mme Mlle Señora Señorita Sra Srta Госпожа г-жа Κυρία".split(),
+    "man": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Господин г-н Κύριος".split(),
+    "person": "Dr Doctor Prof Professor Профессор Доктор".split(),
+}
+WORD = r"[\p{Lu}\p{Lo}](?:['’]\p{Lu})?[\p{L}\p{M}]*+"
+NAME = rf"{WORD}(?:[ -]{WORD}){{0,4}}"
+#: Signs of a secret, which stay as they are, and what it looks like.
+LABEL = r"(?i:api|access|auth|client|private|secret)?[_-]?(?i:key|token|secret)"
+PASSWORD = r"(?i:passwords?|passwd|passphrase|pwd)"
+ASSIGNS = r"[\"']? {0,3}[=:] {0,3}[\"']?"
+TOKEN = r"[A-Za-z0-9_+/.~=-]"
+#: First digits of payment cards' numbers by issuer, for numbers of four groups.
+ISSUER = r"(?:4\d{3}|5[1-5]\d\d|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)|6(?:011|5\d\d|4[4-9]\d)|35(?:2[89]|[3-8]\d))"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+GROUP = r"[0-9A-Fa-f]{1,4}"
 #: Prefix and core of entities by type; of those that begin at the same place the first in this order is taken.
+#: Nothing is repeated without a bound but single characters, which the regex engine takes in a loop: no text is too long for its stack.
 PATTERNS = {
-    "email": ("", r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
-    "secret": (rf"(?=[tskpTSKP]){ASSIGNED}", r"[A-Za-z0-9_+/-]{12,}"),
-    "hex": ("", r"(?=[0-9a-fA-F])(?<![A-Za-z0-9])(?=[a-fA-F]{0,31}\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
-    "iban": ("", r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": ("", r"(?=\d)(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])"),
-    "ssn": ("", r"(?=\d)(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "ip": ("", r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
+    "email": ("", r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,}"),
+    "token": (r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|AIza|(?i:bearer) (?=[^\s]{16}))", rf"(?=[^\d\s]{{0,100}}\d){TOKEN}{{16,}}"),
+    "jwt": ("", r"eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]+)?"),
+    "password": (rf"{PASSWORD}{ASSIGNS}", r"(?=[^\d\s\"'<>]{0,100}\d)[^\s\"'<>,;]{6,}(?<![.)\]}])"),
+    "secret": (rf"{LABEL}{ASSIGNS}", rf"(?=[^\d\s]{{0,200}}\d){TOKEN}{{12,}}"),
+    "hex": ("", r"(?=[a-fA-F]{0,31}\d)(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"),
+    "iban": ("", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": ("", rf"(?<![.-])(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}|{ISSUER}\d{{12}}|3[47]\d\d[ -]?\d{{6}}[ -]?\d{{5}})(?![\d-])"),
+    "ssn": ("", r"(?<![.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "ip": ("", rf"(?<!\.)(?<!(?i:version|release|ver\.?) )(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\d]|\.\d)"),
+    "ipv6": ("", rf"(?<![:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?=[0-9A-Fa-f:]{{0,30}}\d)(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}})(?![\p{{L}}\d:])"),
     "phone": (
         "",
-        r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+        r"(?:(?<![+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
     ),
-    "woman": (rf"(?=[MFSГг])(?<!\p{{L}}){WOMAN}", NAME),
-    "man": (rf"(?=[MSHГг])(?<!\p{{L}}){MAN}", NAME),
+    **{gender: (rf"(?:{'|'.join(titles)})\.?[  ]", NAME) for gender, titles in TITLES.items()},
 }
+NAMES = tuple(TITLES)
+#: What the alternatives can begin with; most places in a text begin none of them.
+_BEGINS = {"token": "[AgsxbB]", "jwt": "e", "password": "[pP]", "secret": "[aAcCkKpPsStT_-]", "hex": "[0-9a-fA-F]", "iban": "[A-Z]", "card": r"\d", "ssn": r"\d", "ip": r"\d", "ipv6": "[0-9A-Fa-f]", "phone": r"[+(\d]", **{g: f"[{''.join(sorted({t[0] for t in titles}))}]" for g, titles in TITLES.items()}}
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join((f"(?={_BEGINS[k]})" if k in _BEGINS else "") + f"{prefix}(?:{core})" for k, (prefix, core) in PATTERNS.items()) + ")"
+#: A name after a title, and in texts with one also each word that may be a part of it.
+TITLED = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?={_BEGINS[g]}){PATTERNS[g][0]}{NAME}" for g in NAMES) + ")"
+ENTITY_OR_WORD = rf"{ENTITY}|(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{N}}@])"
 #: Every entity but a name has one of these, every name one of the titles: what texts are looked through for first.
 SIGNS = "[0-9@=:]"
-TITLES = ["Mr", "Ms", "Mi", "Mad", "Frau", "Mademoiselle", "Señor", "Госп", "г-", "Sir", "Herr", "Mons"]
-ENTITY = "|".join(f"{prefix}(?:{core})" for prefix, core in PATTERNS.values())
 #: Syllables of surrogate names, and their endings by gender.
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi".split(), "cyrillic": "ба бе би бо да де ди до фа фе га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви".split()}
-ENDINGS = {("latin", "woman"): ["na", "lia", "ra", "sa"], ("latin", "man"): ["n", "rd", "lt", "k"], ("cyrillic", "woman"): ["на", "лия", "ра", "са"], ("cyrillic", "man"): ["н", "рд", "лт", "к"]}
-#: Letters by script and case.
-LETTERS = {r"^\d$": "0123456789", r"^[а-яё]$": "абвгдежзиклмнопрстуфхцчшэюя", r"^[А-ЯЁ]$": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"^[α-ω]$": "αβγδεζηθικλμνξοπρστυφχψω", r"^[Α-Ω]$": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"^\p{Lu}$": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^\p{L}$": "abcdefghijklmnopqrstuvwxyz"}
-#: Attempts to give an entity a surrogate that nothing else has.
-ATTEMPTS = 24
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe fi ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi".split(),
+    "cyrillic": "ба бе би бо да де ди до фа фе га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви".split(),
+    "greek": "βα βε βι βο δα δε δι δο φα φε φι γα γε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σο τα τε το ζα ζε ζι".split(),
+}
+ENDINGS = {
+    ("latin", "woman"): ["na", "lia", "ra", "sa"], ("latin", "man"): ["n", "rd", "lt", "k"], ("latin", "person"): ["s", "m", "th", "l"],
+    ("cyrillic", "woman"): ["на", "лия", "ра", "са"], ("cyrillic", "man"): ["н", "рд", "лт", "к"], ("cyrillic", "person"): ["с", "м", "ш", "л"],
+    ("greek", "woman"): ["να", "λια", "ρα", "σα"], ("greek", "man"): ["νος", "ρος", "κος", "λος"], ("greek", "person"): ["ξ", "ψ", "ρ", "ν"],
+}
+SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
+#: Characters by pattern: the first code point and the number of those from it on that stand in for them.
+LETTERS = [
+    (r"^\d$", 0x30, 10), (r"^[\p{Lu}&&\p{IsLatin}]$", 0x41, 26), (r"^\p{IsLatin}$", 0x61, 26), (r"^[\p{Lu}&&\p{IsCyrillic}]$", 0x410, 32), (r"^\p{IsCyrillic}$", 0x430, 32),
+    (r"^[\p{Lu}&&\p{IsGreek}]$", 0x391, 17), (r"^\p{IsGreek}$", 0x3B1, 17), (r"^\p{IsHan}$", 0x4E00, 20000), (r"^\p{IsHangul}$", 0xAC00, 11172), (r"^\p{IsHiragana}$", 0x3042, 80), (r"^\p{IsKatakana}$", 0x30A2, 80),
+    (r"^\p{IsHebrew}$", 0x5D0, 27), (r"^\p{IsArabic}$", 0x628, 19), (r"^\p{IsDevanagari}$", 0x915, 37), (r"^\p{IsThai}$", 0xE01, 46), (r"^[\p{Lu}&&\p{IsArmenian}]$", 0x531, 38), (r"^\p{IsArmenian}$", 0x561, 38), (r"^\p{IsGeorgian}$", 0x10D0, 33),
+]
+#: After so many attempts, and again after as many, surrogates are a syllable, letter or digit longer: there is always room.
+ATTEMPTS = 4
 
 
 def split_entity(entity: Column) -> Column:
-    """(kind, prefix, core) of what ENTITY finds."""
+    """(kind, prefix, core) of what ENTITY finds; the kind is null for a number that only looks like a card's."""
     kind, prefix = F.lit(None).cast("string"), F.lit("")
     for name, (before, core) in reversed(PATTERNS.items()):
         here = entity.rlike(f"^{before}(?:{core})$")
+        if name == "card":
+            here = here & (entity.rlike("[ -]") | (F.substr(entity, F.lit(-1), F.lit(1)) == _check_digit(entity)))
         kind = F.when(here, F.lit(name)).otherwise(kind)
         if before:
             prefix = F.when(here, F.regexp_extract(entity, f"^{before}", 0)).otherwise(prefix)
     return F.struct(kind.alias("kind"), prefix.alias("prefix"), F.substr(entity, F.length(prefix) + 1).alias("core"))
 
 
-def _byte(i: Column) -> Column:
-    """The i-th byte of column ``stream``, which starts again at its end."""
-    return F.conv(F.substr(F.col("stream"), i % 256 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _byte(i: str) -> str:
+    """SQL for the i-th byte of column ``stream``, which starts again at its end."""
+    return f"CAST(conv(substr(stream, ({i}) % 256 * 2 + 1, 2), 16, 10) AS INT)"
 
 
-def _pick(names: list[str] | str, i: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), _byte(i) % len(names) + 1)
+def _pick(names: list[str], i: str) -> str:
+    return f"element_at(split('{' '.join(names)}', ' '), {_byte(i)} % {len(names)} + 1)"
 
 
-def _letters(of: Column, letter) -> Column:  # noqa: ANN001  a character and its place to a character
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.length(of) - 1), lambda i: letter(F.substr(of, i + 1, F.lit(1)), i)), "")
+def _letters(of: str, letter: str) -> str:
+    """SQL for a text whose characters c at places i are replaced."""
+    return f"array_join(transform(split({of}, ''), (c, i) -> {letter}), '')"
 
 
-def _shaped(c: Column, i: Column) -> Column:
-    """A digit or letter of the same script and case; any other character as it is."""
-    out = c
-    for pattern, letters in reversed(LETTERS.items()):
-        out = F.when(c.rlike(pattern), F.substr(F.lit(letters), _byte(i) % len(letters) + 1, F.lit(1))).otherwise(out)
-    return out
+#: A digit or letter of the same script and case; any other character as it is.
+SHAPED = "CASE " + " ".join(f"WHEN c RLIKE r'{pattern}' THEN decode(unhex(lpad(hex({first} + {_byte('i') if many <= 256 else f'({_byte("i")} * 256 + {_byte("i + 97")})'} % {many}), 4, '0')), 'UTF-16BE')" for pattern, first, many in [*LETTERS, (r"^\p{L}$", 0x61, 26)]) + " ELSE c END"
 
 
 def _check_digit(number: Column) -> Column:
     """Luhn's check digit for all digits but the last."""
-    digits = F.reverse(F.regexp_replace(number, r"\D", ""))
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(digits, i + 1, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
-
-    return ((10 - F.aggregate(F.sequence(F.lit(1), F.length(digits) - 1), F.lit(0), add) % 10) % 10).cast("string")
-
-
-def _name(gender: str) -> Column:
-    def word(script: str, at: int) -> Column:
-        return F.initcap(F.concat(*(_pick(SYLLABLES[script], F.lit(at + j)) for j in range(3)), _pick(ENDINGS[script, gender], F.lit(at + 3))))
+    digits = F.split(F.reverse(F.regexp_replace(number, r"\D", "")), "")
+    worth = F.transform(digits, lambda c, i: F.when(i == 0, 0).when(i % 2 == 0, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
+    return ((10 - F.aggregate(worth, F.lit(0), lambda total, d: total + F.coalesce(d, F.lit(0))) % 10) % 10).cast("string")
 
-    def whole(script: str) -> Column:
-        between = F.regexp_extract("core", "[ -]", 0)
-        return F.concat(word(script, 0), between, F.when(between != "", word(script, 8)).otherwise(""))
 
-    return F.when(F.col("core").rlike("[А-Яа-яЁё]"), whole("cyrillic")).otherwise(whole("latin"))
+def _name(gender: str) -> str:
+    """SQL for a word of the core's script with an ending of the gender; scripts without syllables of their own keep length and script."""
+    words = (f"WHEN core RLIKE r'{letters}' THEN concat(array_join(transform(sequence(0, more + 2), i -> {_pick(SYLLABLES[script], 'i')}), ''), {_pick(ENDINGS[script, gender], '200')})" for script, letters in SCRIPTS.items())
+    return f"CASE {' '.join(words)} ELSE plain END"
 
 
 def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, core, attempt, ...) with a surrogate, which follows from these three and the key alone.
 
-    Names are syllables of the name's script with an ending of the person's gender; IP
+    Parts of names are syllables of their script with an ending of the person's gender; IP
     addresses four numbers of a byte; cards that have a right check digit keep one; phone
     numbers keep the country code, e-mail addresses the top-level domain, hexadecimal strings
-    their alphabet.  Anything else, and the rest of these, keeps length, signs, script and case.
+    their alphabet.  Anything else, and the rest of these, keeps signs, script and case, and
+    the length but for what later attempts add (see ATTEMPTS).
     """
     said = F.concat_ws("\u0000", F.lit(key), "kind", "core", F.col("attempt").cast("string"))
-    core, plain = F.col("core"), F.col("plain")
-    hexed = F.when(core.rlike("^[0-9a-f]+$"), _letters(core, lambda c, i: _pick("0123456789abcdef", i))).when(core.rlike("^[0-9A-F]+$"), _letters(core, lambda c, i: _pick("0123456789ABCDEF", i)))
-    right = F.substr(core, F.lit(-1), F.lit(1)) == _check_digit(core)
-    country = F.regexp_extract("core", r"^\+\d{1,3}(?=[ .(-])", 0)
+    core, plain, kind = F.col("core"), F.col("plain"), F.col("kind")
+    country = F.when(kind == "phone", F.regexp_extract("core", r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
     ending = F.regexp_extract("core", r"\.\p{L}{2,}$", 0)
-    kind = F.col("kind")
+    right = F.substr(core, F.lit(-1), F.lit(1)) == _check_digit(core)
+    streamed = entities.withColumn("stream", F.concat(*(F.sha2(F.concat(F.lit(f"{i}\u0000"), said).cast("binary"), 512) for i in range(4))))
+    streamed = streamed.withColumns({"more": F.floor(F.col("attempt") / ATTEMPTS).cast("int"), "country": country}).withColumn("rest", F.substr(core, F.length("country") + 1))
+    more, rest = F.col("more"), F.col("rest")
+    longer = F.when(more > 0, F.concat(F.regexp_extract(rest, r"^[^\p{L}\p{N}]*", 0), F.repeat(F.regexp_extract(rest, r"[\p{L}\p{N}]", 0), more), F.regexp_replace(rest, r"^[^\p{L}\p{N}]+", ""))).otherwise(rest)
+    shaped = streamed.withColumn("rest", longer).withColumn("plain", F.expr(_letters("rest", SHAPED)))
+    of = {digits: F.expr(_letters("rest", f"substr('{digits}', {_byte('i')} % 16 + 1, 1)")) for digits in ("0123456789abcdef", "0123456789ABCDEF")}
     made = (
-        F.when(kind.isin("hex", "secret"), F.coalesce(hexed, plain))
-        .when(kind == "ip", F.concat_ws(".", *((_byte(F.lit(i)) % 254 + 1).cast("string") for i in range(4))))
+        F.when(kind.isin("hex", "secret", "token", "password"), F.when(rest.rlike("^[0-9a-f]+$"), of["0123456789abcdef"]).when(rest.rlike("^[0-9A-F]+$"), of["0123456789ABCDEF"]).otherwise(plain))
+        .when((kind == "ip") & (more == 0), F.expr("concat_ws('.', " + ", ".join(f"CAST({_byte(str(i))} % 254 + 1 AS STRING)" for i in range(4)) + ")"))
+        .when(kind.isin("ip", "ipv6"), F.expr("concat_ws(':', " + ", ".join(f"substr(stream, {4 * i + 1}, 4)" for i in range(8)) + ")"))
         .when((kind == "card") & right, F.concat(F.substr(plain, F.lit(1), F.length("plain") - 1), _check_digit(plain)))
-        .when(kind == "phone", F.concat(country, F.substr(plain, F.length(country) + 1)))
+        .when(kind == "jwt", F.concat(F.lit("eyJ"), F.substr(plain, F.lit(4))))
         .when(kind == "email", F.concat(F.substr(plain, F.lit(1), F.length("plain") - F.length(ending)), ending))
-        .when(kind == "woman", _name("woman"))
-        .when(kind == "man", _name("man"))
-        .otherwise(plain)
     )
-    streamed = entities.withColumn("stream", F.concat(*(F.sha2(F.concat(F.lit(f"{i}\u0000"), said).cast("binary"), 512) for i in range(4))))
-    return streamed.withColumn("plain", _letters(core, _shaped)).withColumn("surrogate", made).drop("stream", "plain")
+    for gender in NAMES:
+        made = made.when(kind == gender, F.expr(_name(gender)))
+    return shaped.withColumn("surrogate", made.otherwise(F.concat("country", plain))).drop("stream", "plain", "rest", "country", "more")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, core, n) of distinct entities with surrogates that are distinct too, and are no entity of their kind.
+    """(kind, core, ...) of distinct entities with surrogates that are distinct too, over all kinds, and are no entity of any.
 
     Of entities with the same surrogate the first in order keeps it; the others, and those
-    whose surrogate is an entity, make another attempt, until there are none.
+    whose surrogate is an entity or taken, make another attempt.  Only these are worked on
+    again; as surrogates grow with the attempts, there comes a round that leaves none.
     """
-    done = stored(with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(ATTEMPTS):
-        names = entities.select("kind", F.col("core").alias("surrogate"), F.lit(True).alias("is_entity"))
-        first = done.groupBy("kind", "surrogate").agg(F.min("core").alias("first"), F.count("*").alias("same")).join(names, ["kind", "surrogate"], "left").where("same > 1 OR is_entity")
-        again = stored(done.join(first, ["kind", "surrogate"]).where("core <> first OR is_entity").select("kind", "core"), "collisions")
-        if again.isEmpty():
-            return done.drop("attempt")
-        retried = with_surrogates(done.join(again, ["kind", "core"]).drop("surrogate").withColumn("attempt", F.col("attempt") + 1), key)
-        done = stored(done.join(again, ["kind", "core"], "left_anti").unionByName(retried.select(*done.columns)), "surrogates")
-    raise ValueError(f"entities share surrogates after {ATTEMPTS} attempts")
+    waiting, made = entities.withColumn("attempt", F.lit(0)), []
+    while True:
+        tried = stored(with_surrogates(waiting, key), "tried_surrogates")
+        taken = reduce(DataFrame.unionByName, (m.select("surrogate") for m in made), entities.select(F.col("core").alias("surrogate")))
+        clash = taken.join(tried.select("surrogate").distinct(), "surrogate", "left_semi").distinct()
+        first = tried.groupBy("surrogate").agg(F.min(F.struct("kind", "core")).alias("first"))
+        free = tried.join(first, "surrogate").where((F.col("kind") == F.col("first.kind")) & (F.col("core") == F.col("first.core"))).drop("first")
+        made.append(stored(free.join(clash, "surrogate", "left_anti").select(*tried.columns), "surrogates"))
+        waiting = stored(tried.join(made[-1], ["kind", "core"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("surrogate"), "collisions")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, made).drop("attempt")
+
+
+def _parts(core: Column) -> Column:
+    """A name's words and what stands between them, in order."""
+    return F.split(core, "(?<=[ -])|(?=[ -])")
 
 
 def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", count_out: str = "n_entities") -> DataFrame:
@@ -147,31 +184,56 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
 
     Entities (PATTERNS) are e-mail addresses, secrets, account, card, social-security and
     phone numbers, IP addresses, and names after a title.  An entity has the same surrogate
-    in all documents (the title before it doesn't matter), different ones have different ones,
-    and without the key they can't be told.
+    in all documents, different ones have different ones, and without the key they can't be
+    told.  The entities of names are their words, by the gender of the title: so a part of a
+    name has the surrogate that it has in the whole name, and where it stands alone in a
+    document that has the name after a title, it is replaced as well.  A title without gender
+    takes the gender that the document gives the word elsewhere.
 
-    Texts without entities are not shuffled.  Distinct entities are counted before they are
-    shuffled, and one that very many rows have is looked up by broadcast (``skew_join``).
+    A text is searched twice (whether it has an entity; then which) and put together again
+    in one pass over its pieces, in time in proportion to its length.  Texts without
+    entities are not shuffled.  Distinct entities are counted before they are shuffled, and
+    one that very many rows have is looked up by broadcast (``skew_join``).
 
     Null text: null, with 0 entities.  Rows that agree in id and text get the same text.
-    A column named as the new one is replaced.  An empty table gives no rows.
+    A column named as the new one is replaced.  An empty table gives no rows.  Numbers of 16
+    digits in a row without an issuer's first digits and a right check digit, and dotted
+    numbers after "v" or "version", are no entities.
     """
     spare = docs.drop(*(c for c in docs.columns if c.lower() == count_out.lower()))
-    mark, said = fresh(spare, "text_mark", "said")
-    found = F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
+    mark, said, found, pieces = fresh(spare, "text_mark", "said", "found", "pieces")
     text = F.col(text_col)
-    likely = text.rlike(SIGNS)
-    for title in TITLES:
-        likely = likely | text.contains(title)
+    likely = reduce(lambda a, t: a | text.contains(t), (t for titles in TITLES.values() for t in titles), text.rlike(SIGNS))
     has = F.coalesce(likely & text.rlike(ENTITY), F.lit(False))
-    rows = spare.where(has).withColumn(mark, F.xxhash64(text_col))
-    placed = rows.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), found.alias("found")).distinct().select("id", "mark", F.posexplode("found").alias("at", "entity"))
-    placed = stored(placed.withColumn("split", split_entity(F.col("entity"))).select("id", "mark", "at", "split.*"), "entities")
-    known = assign(stored(placed.groupBy("kind", "core").agg(F.count("*").alias("n")), "distinct_entities"), key)
-    told = skew_join(placed, known, ["kind", "core"], "n").groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("at", F.concat("prefix", "surrogate").alias("new")))).alias(said))
-    told = told.withColumnsRenamed({"id": f"{said}_id", "mark": f"{said}_mark"})
-    joined = rows.join(told, F.col(id_col).eqNullSafe(F.col(f"{said}_id")) & (F.col(mark) == F.col(f"{said}_mark")))
-    plain = F.split(F.col(text_col), ENTITY, -1)
-    new = F.concat(F.array_join(F.transform(F.col(said), lambda s: F.concat(F.element_at(plain, s["at"] + 1), s["new"])), ""), F.element_at(plain, -1))
-    changed = joined.withColumns({count_out: F.size(said).cast("long"), text_col: new})
+    titled = text.rlike(TITLED)
+    rows = spare.where(has).withColumns({
+        mark: F.xxhash64(text_col),
+        found: F.when(titled, F.regexp_extract_all(text, F.lit(ENTITY_OR_WORD), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))),
+        pieces: F.when(titled, F.split(text, ENTITY_OR_WORD, -1)).otherwise(F.split(text, ENTITY, -1)),
+    })
+    rows = stored(rows, "texts_with_entities")
+
+    at = rows.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), F.col(found).alias("found")).distinct().select("id", "mark", F.posexplode("found").alias("at", "entity"))
+    at = at.withColumn("split", split_entity(F.col("entity"))).select("id", "mark", "at", "entity", "split.*")
+    parts = at.select("id", "mark", "at", "kind", "prefix", F.when(F.col("kind").isNotNull() & ~F.col("kind").isin(*NAMES), F.array("core")).otherwise(_parts(F.col("core"))).alias("parts"))
+    parts = stored(parts.select("id", "mark", "at", "kind", "prefix", F.posexplode("parts").alias("sub", "part")).withColumn("core", F.when(F.col("kind").isNull() | F.col("kind").isin(*NAMES), F.lower("part")).otherwise(F.col("part"))), "entity_parts")
+    is_word = F.col("part").rlike(r"\p{L}")
+    named = parts.where(F.col("kind").isin(*NAMES) & is_word).groupBy("id", "mark", "core").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), F.min(F.when(F.col("kind") != "person", F.col("kind"))).alias("gendered"))
+    named = named.select(F.col("id").alias("named_id"), F.col("mark").alias("named_mark"), F.col("core").alias("named_core"), F.coalesce("gendered", "least").alias("known"))
+    same = F.col("id").eqNullSafe(F.col("named_id")) & (F.col("mark") == F.col("named_mark")) & (F.col("core") == F.col("named_core"))
+    told = parts.join(named, same, "left").withColumn("kind", F.when(~is_word & F.col("kind").isin(*NAMES), F.lit(None)).when(F.col("kind").isNull() | (F.col("kind") == "person"), F.col("known")).otherwise(F.col("kind")))
+    told = stored(told.select("id", "mark", "at", "sub", "prefix", "part", "kind", "core"), "told_parts")
+
+    known = assign(stored(told.where("kind IS NOT NULL").groupBy("kind", "core").agg(F.count("*").alias("n")), "distinct_entities"), key)
+    meant = skew_join(told.where("kind IS NOT NULL"), stored(known, "known_surrogates"), ["kind", "core"], "n")
+    cased = F.when(~F.col("kind").isin(*NAMES), F.col("surrogate")).when((F.col("part") == F.upper("part")) & (F.length("part") > 1), F.upper("surrogate")).otherwise(F.initcap("surrogate"))
+    new = meant.select("id", "mark", "at", "sub", "prefix", cased.alias("new"), F.lit(True).alias("is_entity"))
+    new = new.unionByName(told.where("kind IS NULL").select("id", "mark", "at", "sub", "prefix", F.col("part").alias("new"), F.lit(False).alias("is_entity")))
+    whole = new.groupBy("id", "mark", "at").agg(F.first("prefix").alias("prefix"), F.array_sort(F.collect_list(F.struct("sub", "new"))).alias("news"), F.max("is_entity").alias("is_entity"))
+    whole = whole.select("id", "mark", "at", "is_entity", F.concat("prefix", F.array_join("news.new", "")).alias("new"))
+    by_text = whole.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias(said), F.count_if("is_entity").alias(count_out))
+    by_text = by_text.withColumnsRenamed({"id": f"{said}_id", "mark": f"{said}_mark"})
+    joined = rows.join(by_text, F.col(id_col).eqNullSafe(F.col(f"{said}_id")) & (F.col(mark) == F.col(f"{said}_mark")))
+    put = F.array_join(F.zip_with(pieces, F.col(f"{said}.new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    changed = joined.withColumn(text_col, put)
     return spare.where(~has).withColumn(count_out, F.lit(0).cast("long")).unionByName(changed.select(*spare.columns, count_out))
