@@ -67,6 +67,20 @@ def test_line_dedup_of_a_hot_passage(spark):
     assert got[0].startswith("common") and all(got[i] == f"own {i}" for i in range(1, 3000))
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """Texts are cut into lines once: ten times the lines take about ten times as long, not a hundred times."""
+    import time
+
+    took = []
+    for n in (16_000, 160_000):
+        text = "\n".join(f"line {i} of this text" for i in range(n))
+        begin = time.time()
+        got = {r.doc_id: r.text for r in linededup.remove_repeats(table(spark, [(1, text), (2, f"first\n{text}\nlast")])).collect()}
+        took.append(time.time() - begin)
+        assert got == {1: text, 2: "first\nlast"}
+    assert took[1] < 20 * took[0] + 5
+
+
 def test_line_dedup_equals_its_sql(spark, sf_dir):
     same(spark, sf_dir, queries.op2_line_dedup, linededup.ORACLE_SQL)
 

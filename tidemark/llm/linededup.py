@@ -40,20 +40,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     empty table gives no rows.
     """
     spare = docs.drop(*(c for c in docs.columns if c.lower() in (lines_out.lower(), removed_out.lower())))
-    mark, covered, lines = fresh(spare, "text_mark", "covered", "lines")
+    mark, covered = fresh(spare, "text_mark", "covered")
+    split = F.split(F.col(text_col), "\n", -1)
     marked = spare.withColumn(mark, F.xxhash64(text_col))
-    key = marked.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), F.split(F.col(text_col), "\n", -1).alias("lines")).where(F.size("lines") >= LINES)
+    key = marked.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), split.alias("lines")).where(F.size("lines") >= LINES)
     runs = key.select("id", "mark", F.posexplode(_windows(F.col("lines"))).alias("at", "run")).where("run IS NOT NULL").select("id", "mark", "at", "run.h1", "run.h2")
     place = F.struct("id", "mark", "at")
     first = stored(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated_runs")
     later = skew_join(runs, first, ["h1", "h2"], "n").where(place > F.col("first"))
     gone = later.groupBy("id", "mark").agg(F.flatten(F.collect_set(F.array(*(F.col("at") + j for j in range(LINES))))).alias(covered))
-    gone = gone.withColumnsRenamed({"id": f"{covered}_id", "mark": f"{covered}_mark"})
-    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col(f"{covered}_id")) & (F.col(mark) == F.col(f"{covered}_mark")), "left").drop(f"{covered}_id", f"{covered}_mark", mark)
-    whole = F.split(F.col(text_col), "\n", -1)
+    gone = stored(gone, "removed_lines").withColumnsRenamed({"id": f"{covered}_id", "mark": f"{covered}_mark"})
+    same = F.col(id_col).eqNullSafe(F.col(f"{covered}_id")) & (F.col(mark) == F.col(f"{covered}_mark"))
+    # a text travels as its lines, cut once below the join: an expression inside the lambda would cut it again for each line
+    joined = marked.withColumn(text_col, split).join(gone, same, "left").drop(f"{covered}_id", f"{covered}_mark", mark)
+    whole = F.col(text_col)
     left = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col(covered))
-    kept = F.when(F.col(covered).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(whole, i + 1)), "\n"))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(whole))
+    kept = F.when(F.col(covered).isNull(), F.array_join(whole, "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(whole, i + 1)), "\n"))
+    n = F.when(whole.isNull(), 0).otherwise(F.size(whole))
     removed = F.when(F.col(covered).isNull(), 0).otherwise(F.size(F.array_distinct(F.col(covered))))
     return joined.withColumns({lines_out: n.cast("long"), removed_out: removed.cast("long"), text_col: kept}).drop(covered)
 
