@@ -1,9 +1,9 @@
 import math
 
-import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
+from brute_templates import held_items
 from tidemark.llm import decontamination, langid, linededup, pii, queries, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -261,14 +261,33 @@ def test_reparameterised_questions(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("block", [500_000, 20])
-def test_decontamination_equals_brute_force(spark, sf_dir, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", block)  # 20: many blocks
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(8)
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).unionByName(spark.createDataFrame([(1000 + i, f"so. {t} end", None, None, None) for i, t in items], DOCS))
-    found = decontamination.find_leaks(docs.select("doc_id", "text"), bench).collect()
-    for r in found:
-        brute = decontamination.contaminated_items(r.text, items)
-        assert (r.item_id in brute) if brute else r.item_id is None
-    assert sum(r.item_id is not None for r in found) >= 8
+def leaks(spark, texts, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.item_id, r.coverage) for r in decontamination.find_leaks(df, bench).collect()}
+
+
+def test_decontamination_equals_brute_force(spark, sf_dir):
+    import random
+
+    r = random.Random(6)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(8).collect()] + BENCH + [(20, "What is 12 + 5?"), (21, "Natalia sold 48 clips. Natalia then bought 5 kg of rice. Natalia paid $7 in May."), (22, "Paris"), (23, "How far is Rome?"), (24, "")]
+    texts = [x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    for _, t in items:
+        if not t:
+            continue
+        w = t.split()
+        texts += [t, f"so. {t} end", t.upper(), t.lower(), t.title(), " ".join(x.strip(".,?") for x in w), " ".join(w[: len(w) // 2]), " ".join(w[: len(w) // 2] + ["inserted", "words"] + w[len(w) // 2 :])]
+        for _ in range(4):
+            texts.append(" ".join(r.choice(["7", "8.5", "Marcus", "Eve", "pears"]) if r.random() < 0.2 and (x[0].isupper() or x[0].isdigit()) else x for x in w))
+    got = leaks(spark, texts, items)
+    for i, text in enumerate(texts):
+        best = held_items(text, items)
+        assert got[i][0] == (best[0][1] if best else None) and (not best or abs(got[i][1] - best[0][0]) < 1e-9), (text, got[i], best[:2])
+    assert sum(x[0] is not None for x in got.values()) > 80
+
+
+def test_questions_that_templates_used_to_miss(spark):
+    items = [(1, "What is 12 + 5?"), (2, "Natalia sold 48 clips to her friends. Natalia then bought 5 kg of rice. Natalia paid for it in cash."), (3, "Alice gave Bob 3 apples and then Bob gave Carol 2 pears for lunch")]
+    texts = ["he asked: What is 12 + 5? and left", "what is 99 + 1", "Marcus sold 31 clips to her friends. Marcus then bought 9kg of rice. Marcus paid for it in cash.", "natalia sold 48 clips to her friends natalia then bought 5 kg of rice natalia paid for it in cash", "NATALIA SOLD 48 CLIPS TO HER FRIENDS. NATALIA THEN BOUGHT 5 KG OF RICE. NATALIA PAID FOR IT IN CASH.", "so Dan gave Eve 7 apples and then Eve gave Fay 9 pears for lunch", "so Dan gave Dan 7 apples and then Dan gave Dan 9 pears for lunch", "Marcus sold 31 clips to her friends. Lukas then bought 9kg of rice. Petra paid for it in cash."]
+    assert {i: x for i, (x, _) in leaks(spark, texts, items).items()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 3, 6: None, 7: None}
