@@ -1,4 +1,5 @@
 import math
+import zlib
 
 from oracle import same
 from pyspark.sql import functions as F
@@ -92,26 +93,69 @@ def test_languages_are_told(spark, sf_dir):
     rows = queries.op4_language_id(spark, sf_dir).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     held = [r for r in rows if r.held_out]
-    assert len(rows) == len(lang) and all(r.held_out == (langid.held_out_fold(r.doc_id) == 1) for r in rows)
+    assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def slow_buckets(text):
+    """n-grams of a text, one by one, with plain integers."""
+    import unicodedata
+
+    said = []
+    for i, c in enumerate(text.lower()):
+        if unicodedata.category(c)[0] in "LM":
+            said.append(ord(c))
+        elif i == 0 or said[-1:] != [32]:
+            said.append(32)
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(said) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h + said[i + k]) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[k] % (1 << 32)
+                h ^= h >> 15
+            out.append((h >> 7) % (1 << 16))
+    return sorted(out)
+
+
+def test_grams_equal_brute_force(monkeypatch):
+    texts = ["", "a", "Ab – cd", "  x", "«ÉÀ»!!  z", "ΟΔΟΣ ΣΑΣ", "नमस्ते 12", "ab" * 50, "x y " * 40, "!?"]
+    for block in (1 << 20, 7, 3):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = {}
+        for buckets, owner in langid.batch_grams(texts):
+            for b, o in zip(buckets.tolist(), owner.tolist()):
+                got.setdefault(o, []).append(b)
+        assert {i: sorted(v) for i, v in got.items()} == {i: slow_buckets(t) for i, t in enumerate(texts) if t}
+
+
 def test_bayes_equals_brute_force(spark):
-    rows = [("abab aba", "x"), ("cdcd cdd", "y"), ("abcd", "x"), (None, "x"), ("zzz", None), ("", "y")]
+    rows = [("abab aba", "x"), ("cdcd cdd", "y"), ("abcd", "x"), (None, "x"), ("zzz", None), ("", "y"), ("", "w")]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
     assert model.languages == ("x", "y")
     counts = {"x": {}, "y": {}}
     for text, lang in rows:
-        if text is not None and lang:
-            for g in langid.grams(text):
-                for b in g.tolist():
-                    counts[lang][b] = counts[lang].get(b, 0) + 1
+        if text and lang:
+            for b in slow_buckets(text):
+                counts[lang][b] = counts[lang].get(b, 0) + 1
     n = {k: sum(v.values()) for k, v in counts.items()}
-    for text in ("abba", "dcd", "ab cd", "É"):
-        score = {k: math.log(n[k] / sum(n.values())) + sum(math.log((counts[k].get(b, 0) + 0.5) / (n[k] + 0.5 * langid.BUCKETS)) for g in langid.grams(text) for b in g.tolist()) for k in counts}
-        lang, p = model.predict(text)
-        assert lang == max(score, key=score.get) and abs(p - 1 / sum(math.exp(v - max(score.values())) for v in score.values())) < 1e-4
+    texts = ["abba", "dcd", "ab cd", "É", None, "12"]
+    said, p, fit = model.predict_all(texts)
+    assert fit[1] > 0 > fit[3] and model.predict_all(["王小明"])[2][0] < 0
+    for i, text in enumerate(texts[:4]):
+        score = {k: math.log(n[k] / sum(n.values())) + sum(math.log((counts[k].get(b, 0) + 0.5) / (n[k] + 0.5 * langid.BUCKETS)) for b in slow_buckets(text)) for k in counts}
+        assert said[i] == max(score, key=score.get) and abs(p[i] - 1 / sum(math.exp(v - max(score.values())) for v in score.values())) < 1e-4
+        assert model.predict(text) == (said[i], p[i])
+    assert said[4:] == ["und", "und"] and p[4:].tolist() == [0, 0]
+
+
+def test_too_many_languages(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([("abc", f"l{i}") for i in range(4)], "text string, lang string"))
 
 
 def test_languages_of_odd_rows(spark):
