@@ -100,12 +100,38 @@ def random_log(seed, n=300):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("ranges", [1000, 0])
-def test_random_logs_equal_serial_application(spark, monkeypatch, seed, ranges):
-    monkeypatch.setattr(lww, "BROADCAST_RANGES", ranges)  # 0: ranges are cut into segments
+@pytest.mark.parametrize(("joined", "block"), [(128, 1000), (0, 1000), (0, 3)])
+def test_random_logs_equal_serial_application(spark, monkeypatch, seed, joined, block):
+    monkeypatch.setattr(lww, "JOINED_SEGMENTS", joined)  # 0: segments are searched
+    monkeypatch.setattr(lww, "BROADCAST_DELETES", block)  # 3: many blocks of deletes
     assert applied(spark, random_log(seed)) == serial(random_log(seed))
 
 
+def test_very_many_range_deletes(spark):
+    """A hundred thousand ranges, some within others, in a few seconds, against a scan of all of them for a few keys."""
+    import time
+
+    r = random.Random(1)
+    n = 100_000
+    dels = [(1_000 + i, "delete_range", 1 + i % 2, None, lo := r.randrange(10**6), lo + 1 + r.choice([3, 50, 10**5 if i < 20 else 9])) for i in range(n)]
+    d = spark.createDataFrame([(q, k, t, p, a, b) for q, k, t, p, a, b in dels], "seq long, kind string, table_id long, partition_key long, lower_bound long, upper_bound long")
+    writes = [(r.randrange(110_000), 1 + i % 3, r.randrange(-5, 10**6 + 9)) for i in range(400)]
+    w = spark.createDataFrame(writes, "seq long, table_id long, partition_key long")
+    begin = time.time()
+    got = {tuple(x) for x in lww.surviving(w, d).collect()}
+    assert time.time() - begin < 30
+    assert got == {(q, t, k) for q, t, k in writes if not any(t == u and a <= k < b and x > q for x, _, u, _, a, b in dels)}
+    counts = {x.seq: x.n_records for x in lww.would_delete(w, d).collect()}
+    assert len(counts) == n and all(counts[x] == sum(t == u and a <= k < b for _, t, k in writes) for x, _, u, _, a, b in dels[:300])
+
+
+def test_deletes_do_not_shuffle_writes(spark):
+    entries = [log.write(1, k, 0, b"", 1) for k in range(9)] + [log.delete_table(2), log.delete_partition_key(1, 3), log.delete_range(1, 5, 7)]
+    m = log.mutations(spark, entries)
+    plan = lww.surviving(m.where("kind = 'write'"), m.where("kind <> 'write'"))._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_batches_equal_the_whole(spark):
     entries = random_log(9)
     mutations = log.mutations(spark, entries)
@@ -130,6 +156,53 @@ def test_stream_of_segments(spark, tmp_path):
     assert {r.seq for r in log.read(spark, f"{tmp_path}/log", 290).collect()} == set(range(290, 300))
 
 
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    s = Snapshots(spark, f"{tmp_path}/s", buckets=16)
+    first = [log.write(1, k, 0, b"a", 1) for k in range(200)]
+    second = [log.write(1, k, 0, b"b", 2) for k in (3, 4)] + [log.delete_partition_key(1, 5)]
+    s.apply(log.mutations(spark, first), 0)
+    before = s._line()[1]
+    s.apply(log.mutations(spark, second, 200), 1)
+    after = s._line()[1]
+    assert len(before) == 16 and {b for b in after if after[b] == 1} == {b for b in after if before[b] != after[b]} and 1 <= sum(n == 1 for n in after.values()) <= 3
+    assert state(s.read()) == serial(first + second) and state(s.read(0)) == serial(first)
+    assert {r.partition_key for r in s.read_key(1, 3).collect()} >= {3} and s.read_key(1, 3).count() < 60
+    assert s.vacuum() == sum(n == 1 for n in after.values()) and state(s.read()) == serial(first + second)
+    s.apply(log.mutations(spark, [log.delete_range(1, 0, 150)], 300), 2)
+    assert s.read().count() == 50 and s.vacuum() > 0 and s.read().count() == 50
+
+
+def test_a_log_loses_its_applied_segments(spark, tmp_path):
+    for lo in (0, 10, 20):
+        log.append(log.mutations(spark, [log.write(1, k, 0, b"", 1) for k in range(10)], lo).coalesce(1), f"{tmp_path}/log")
+    assert log.truncate(spark, f"{tmp_path}/log", 15) == 1
+    assert {r.seq for r in log.read(spark, f"{tmp_path}/log").collect()} == set(range(10, 30))
+
+
+def test_a_restart_finds_what_waits(spark, tmp_path):
+    from tidemark.plans.api import Store
+
+    store = Store(spark, str(tmp_path))
+    store.submit([log.write(1, k, 0, b"", 1) for k in range(5)])
+    store.apply()
+    store.submit([log.write(1, 9, 0, b"", 1)])
+    again = Store(spark, str(tmp_path))
+    assert (again.next_seq, again.applied_seq) == (6, 5)
+    again.apply()
+    assert again.truncate() == 1 and Store(spark, str(tmp_path)).applied_seq == 6
+    assert {r.partition_key for r in again.records().collect()} == {0, 1, 2, 3, 4, 9}
+
+
+def test_statistics_are_pruned(spark, tmp_path):
+    columns = "seq long, table_id long, partition_key long, is_write boolean, partition_id string, time_ms long"
+    s = Statistics(spark, f"{tmp_path}/stats", retention_ms=1000)
+    assert s.checkpoint() == 0
+    s.flush(spark.createDataFrame([(0, 1, 1, True, "p", 100), (1, 1, 1, True, "p", 200)], columns), 0)
+    s.flush(spark.createDataFrame([(2, 1, 1, True, "p", 1500)], columns), 1)
+    assert s.checkpoint() == 3 and [r.end_ms for r in s.read().collect()] == [1500]
+    assert s.prune(1500) == 1 and s.prune(1500) == 0 and s.read().count() == 1
+
+
 def test_running_aggregate_equals_batch(spark, tmp_path):
     entries = [e for e in random_log(12) if e["kind"] == "write"]
     log.append(log.mutations(spark, entries), f"{tmp_path}/log")

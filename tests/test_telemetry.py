@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument
 from tidemark.functions import values
@@ -94,4 +95,35 @@ def test_load(spark):
     assert load.p95(done.limit(0)).first().p95_ms == 0
     timed = spark.createDataFrame([(i * 100,) for i in range(41)], "time_ms long")
     t = load.throughput(timed, 0, 4000).first()
+    assert load.throughput(timed.withColumn("seed", F.lit(True)), 0, 4000).first().average_tps == 0
     assert (t.current_tps, t.average_tps) == (11.0, 10.3)
+
+
+def test_outcomes_of_a_load_run(spark, tmp_path):
+    """Seeds count for themselves alone; an empty error text is no error; 404 and NotFound are misses."""
+    rows = [(0, "204", False, True, 1.0, None), (1, "500", False, True, 2.0, "boom"), (2, "OK", False, True, 3.0, ""), (3, "200", True, False, 4.0, ""), (4, "404", True, False, 5.0, None), (5, "NotFound", True, None, 6.0, ""), (6, "500", False, False, 7.0, "boom"), (7, "404", True, False, 8.0, "late")]
+    done = spark.createDataFrame(rows, "seq long, status string, read boolean, seed boolean, latency double, error string")
+    c = load.counts(done).first().asDict()
+    assert c == {"completed": 5, "seeded": 3, "reads": 4, "writes": 1, "errors": 2, "misses": 2, "successes": 1, "seed_errors": 1}
+    assert {r.status: r.n for r in load.statuses(done).collect()} == {"200": 1, "404": 2, "NotFound": 1, "500": 1}
+    assert load.p95(done).first().p95_ms == 7.0
+    load.write_report(load.counts(done), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").first().asDict() == c
+
+
+def test_trailing_counts_of_a_busy_worker(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([0, 0, 0, 1, None]), r.randrange(400)) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, worker long, time_ms long")
+    got = {x.seq: x.recent for x in load.trailing(df, 50).collect()}
+    assert got == {i: sum(w == v and t - 50 <= u <= t for _, v, u in rows) for i, w, t in rows}
+
+
+def test_file_size(spark, tmp_path):
+    import glob
+    import os
+
+    spark.range(1000).repartition(3).write.parquet(f"{tmp_path}/t")
+    assert reads.file_size(spark.read.parquet(f"{tmp_path}/t")).first()[0] == sum(map(os.path.getsize, glob.glob(f"{tmp_path}/t/*.parquet")))

@@ -226,3 +226,11 @@ def test_some_table_is_checked(spark, made):
     s = spark.createDataFrame([(1, made.ring(1)[0].partition_id, 0.0, 0.0, 1, 0, 0, "0", 1.0, None)], "table_id long, partition_id string, reads_per_second double, writes_per_second double, contributing_nodes long, read_count long, write_count long, write_position_sum string, window_seconds double, median_write_position long")
     assert topology.check_some_table(made, s, 0).first().write_action == "merge"
     assert topology.check_some_table(topology.delete_table(made, 1), s, 0) is None
+
+
+def test_a_split_keeps_the_number_of_replicas(spark, made):
+    """A partition of four replicas is split into two of four."""
+    start = made.ring(1)[1].hash_start
+    four = topology.increase_replication(made, 1, start, 4)
+    done = topology.split_partition(four, 1, start + 1000)
+    assert [len(p.replicas) for p in done.ring(1) if p.hash_start in (start, start + 1000)] == [4, 4]

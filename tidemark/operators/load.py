@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.telemetry import newest
 from tidemark.schema import LATENCIES
 
 
+#: Statuses of seeds that succeeded, and of reads that found nothing.
+SEEDED, MISSED = ("204", "OK"), ("404", "NotFound")
+
+
+def _seed() -> Column:
+    return F.coalesce(F.col("seed"), F.lit(False))
+
+
+def requests(completions: DataFrame) -> DataFrame:
+    """Completions of the run itself: seeds prepare it and count in nothing but seeded and seed_errors."""
+    return completions.where(~_seed()) if "seed" in completions.columns else completions
+
+
 def counts(completions: DataFrame) -> DataFrame:
-    """Completions, reads, writes, seeds and errors."""
-    n = lambda c: F.count_if(c)
-    seed = F.coalesce(F.col("seed"), F.lit(False))
-    return completions.agg(n(~seed).alias("completed"), n(seed).alias("seeded"), n(~seed & F.col("read")).alias("reads"), n(~seed & ~F.col("read")).alias("writes"), n(F.col("error").isNotNull()).alias("errors"))
+    """Completions by outcome: an error if there is an error text, a miss if the status says that nothing was found, else a success; seeds for themselves."""
+    n, own = F.count_if, ~_seed()
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    missed = F.coalesce(F.col("status").isin(*MISSED), F.lit(False))
+    return completions.agg(
+        n(own).alias("completed"), n(~own).alias("seeded"), n(own & F.col("read")).alias("reads"), n(own & ~F.col("read")).alias("writes"),
+        n(own & failed).alias("errors"), n(own & ~failed & missed).alias("misses"), n(own & ~failed & ~missed).alias("successes"),
+        n(~own & ~F.coalesce(F.col("status").isin(*SEEDED), F.lit(False))).alias("seed_errors"),
+    )
 
 
 def statuses(completions: DataFrame) -> DataFrame:
-    return completions.groupBy("status").agg(F.count("*").alias("n"))
+    return requests(completions).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def merge_counts(batches: DataFrame, by: str = "status") -> DataFrame:
@@ -27,7 +45,7 @@ def merge_counts(batches: DataFrame, by: str = "status") -> DataFrame:
 
 def p95(completions: DataFrame, last: int = LATENCIES) -> DataFrame:
     """The latency at place (n - 1) * 95 / 100, rounded down, of the newest in order; 0 without any."""
-    recent = newest(completions.where("latency IS NOT NULL").withColumn("one", F.lit(1)), last, ["one"], ["seq"])
+    recent = newest(requests(completions).where("latency IS NOT NULL").withColumn("one", F.lit(1)), last, ["one"], ["seq"])
     sample = recent.agg(F.array_sort(F.collect_list("latency")).alias("s"))
     return sample.select(F.when(F.size("s") > 0, F.element_at("s", (F.floor(F.greatest(F.size("s") - 1, F.lit(0)) * 95 / 100) + 1).cast("int"))).otherwise(0.0).alias("p95_ms"))
 
@@ -38,13 +56,23 @@ def throughput(completions: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     if elapsed <= 0:
         return completions.limit(1).agg(F.lit(0.0).alias("current_tps"), F.lit(0.0).alias("average_tps"))
     recent = F.count_if(F.col("time_ms") >= end_ms - 1000)
-    return completions.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") <= end_ms)).agg(F.round(recent / min(elapsed, 1.0), 1).alias("current_tps"), F.round(F.count("*") / elapsed, 1).alias("average_tps"))
+    return requests(completions).where((F.col("time_ms") >= start_ms) & (F.col("time_ms") <= end_ms)).agg(F.round(recent / min(elapsed, 1.0), 1).alias("current_tps"), F.round(F.count("*") / elapsed, 1).alias("average_tps"))
 
 
 def trailing(completions: DataFrame, width_ms: int = 1000) -> DataFrame:
-    """For each worker's completions, how many it had in the time up to each, both ends included."""
-    before = Window.partitionBy("worker").orderBy("time_ms").rangeBetween(-width_ms, 0)
-    return completions.withColumn("recent", F.count("*").over(before))
+    """For each worker's completions, how many it had in the time up to each, both ends included.
+
+    A worker's times are counted first, and cut into stretches of the width: a window ends in
+    its own stretch and begins there or in the one before, so each stretch is worked on with
+    a copy of the one before, however many completions the worker has.
+    """
+    width = max(width_ms, 1)
+    counted = completions.groupBy("worker", "time_ms").agg(F.count("*").alias("n"))
+    own = F.floor(F.col("time_ms") / width)
+    spread = counted.withColumn("stretch", F.explode(F.array(own, own + 1))).withColumn("own", F.col("stretch") == own)
+    before = Window.partitionBy("worker", "stretch").orderBy("time_ms").rangeBetween(-width_ms, 0)
+    summed = spread.withColumn("recent", F.sum("n").over(before)).where("own").select(F.col("worker").alias("w"), F.col("time_ms").alias("t"), "recent")
+    return completions.join(summed, F.col("worker").eqNullSafe(F.col("w")) & F.col("time_ms").eqNullSafe(F.col("t")), "left").drop("w", "t")
 
 
 def report(completions: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

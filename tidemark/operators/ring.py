@@ -117,12 +117,13 @@ def forwarded(partitions: DataFrame) -> DataFrame:
 
 
 def forward_chain(partitions: DataFrame, most: int = 64) -> DataFrame:
-    """The end of each partition's chain of ``forward_to`` (table_id, hash_start, target, hops); target is null for a loop or a start that isn't there.
+    """The end of each partition's chain of ``forward_to`` (table_id, hash_start, target, hops), and the replicas of all partitions along it, in order of id; both are null for a loop or a start that isn't there.
 
     A hop is a join of metadata; chains end after as many hops as the longest has, at most ``most``.
     """
-    link = partitions.select(F.col("table_id").alias("t"), F.col("hash_start").alias("s"), F.col("forward_to").alias("next"))
-    at = partitions.select("table_id", "hash_start", F.col("hash_start").alias("target"), F.col("forward_to").alias("ahead"), F.array("hash_start").alias("seen"), F.lit(0).alias("hops"))
+    own = F.col("replicas") if "replicas" in partitions.columns else F.array().cast("array<bigint>")
+    link = partitions.select(F.col("table_id").alias("t"), F.col("hash_start").alias("s"), F.col("forward_to").alias("next"), own.alias("more"))
+    at = partitions.select("table_id", "hash_start", F.col("hash_start").alias("target"), F.col("forward_to").alias("ahead"), own.alias("replicas"), F.array("hash_start").alias("seen"), F.lit(0).alias("hops"))
     for _ in range(most):
         if at.where("ahead IS NOT NULL").isEmpty():
             break
@@ -133,6 +134,7 @@ def forward_chain(partitions: DataFrame, most: int = 64) -> DataFrame:
             F.when(F.col("ahead").isNull(), F.col("target")).when(~lost, F.col("ahead")).alias("target"),
             F.when(F.col("ahead").isNotNull() & ~lost, F.col("next")).alias("ahead"),
             F.when(F.col("ahead").isNull() | lost, F.col("seen")).otherwise(F.array_append("seen", F.col("ahead"))).alias("seen"),
+            F.when(F.col("ahead").isNull() | lost, F.col("replicas")).otherwise(F.array_union("replicas", "more")).alias("replicas"),
             (F.col("hops") + F.when(F.col("ahead").isNull() | lost, 0).otherwise(1)).alias("hops"),
         )
-    return at.select("table_id", "hash_start", "target", "hops")
+    return at.select("table_id", "hash_start", "target", "hops", F.when(F.col("target").isNotNull(), F.array_sort("replicas")).alias("replicas"))

@@ -23,10 +23,21 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.snapshots = Snapshots(spark, f"{self.folder}/snapshots")
-        self.next_seq = self.applied_seq = self._logged()
+        self.next_seq = self._logged()
+        self.applied_seq = self._applied()
+
+    def _applied(self) -> int:
+        """Up to where the log was applied before a restart: what comes after it waits."""
+        try:
+            last = self.spark.read.schema("next_seq long").json(f"{self.folder}/applied").agg(F.max("next_seq")).first()[0]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            last = None
+        return last or 0
 
     def _logged(self) -> int:
-        """Where the log of the folder ends; everything in an old log counts as taken."""
+        """Where the log of the folder ends."""
         try:
             last = log.read(self.spark, f"{self.folder}/log").agg(F.max("seq")).first()[0]
         except Exception as e:
@@ -46,6 +57,12 @@ class Store:
         """Applies what is logged and not yet visible."""
         self.snapshots.follow(log.read_stream(self.spark, f"{self.folder}/log", 1000), f"{self.folder}/checkpoint").awaitTermination()
         self.applied_seq = self.next_seq
+        self.spark.createDataFrame([(self.applied_seq,)], "next_seq long").coalesce(1).write.mode("append").json(f"{self.folder}/applied")
+
+    def truncate(self) -> int:
+        """Removes segments of the log that are applied, but the last, by which a restart knows the next place; and versions that were replaced."""
+        self.snapshots.vacuum()
+        return log.truncate(self.spark, f"{self.folder}/log", self.applied_seq - 1)
 
     def records(self) -> DataFrame:
         return self.snapshots.read()

@@ -193,13 +193,16 @@ def write_replica_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE links(s, f) AS (VALUES (0, NULL), (10, 0), (20, 10), (30, 40), (40, 30), (50, 99)),
-  walk(hash_start, pos, hops) AS (SELECT s, s, 0 FROM links UNION ALL SELECT w.hash_start, l.f, w.hops + 1 FROM walk w JOIN links l ON w.pos = l.s WHERE l.f IS NOT NULL AND w.hops < 6)
-  SELECT CAST(1 AS BIGINT) AS table_id, CAST(l.s AS BIGINT) AS hash_start, CAST(max(w.pos) AS BIGINT) AS target FROM links l
-  LEFT JOIN (SELECT w.* FROM walk w JOIN links e ON w.pos = e.s WHERE e.f IS NULL) w ON w.hash_start = l.s GROUP BY l.s""")
+  walk(hash_start, pos, hops) AS (SELECT s, s, 0 FROM links UNION ALL SELECT w.hash_start, l.f, w.hops + 1 FROM walk w JOIN links l ON w.pos = l.s WHERE l.f IS NOT NULL AND w.hops < 6),
+  ends AS (SELECT w.hash_start, w.pos AS target FROM walk w JOIN links e ON w.pos = e.s WHERE e.f IS NULL),
+  met AS (SELECT hash_start, array_to_string(list_sort(list(DISTINCT n)), ',') AS replicas FROM (SELECT hash_start, unnest([pos // 10 + 1, pos // 10 + 2]) AS n FROM walk) GROUP BY hash_start)
+  SELECT CAST(1 AS BIGINT) AS table_id, CAST(l.s AS BIGINT) AS hash_start, CAST(e.target AS BIGINT) AS target, CASE WHEN e.target IS NOT NULL THEN m.replicas END AS replicas
+  FROM links l LEFT JOIN ends e ON e.hash_start = l.s LEFT JOIN met m ON m.hash_start = l.s""")
 def forward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains, a loop and a source that isn't there."""
-    rows = [(1, s, f) for s, f in ((0, None), (10, 0), (20, 10), (30, 40), (40, 30), (50, 99))]
-    return ring.forward_chain(spark.createDataFrame(rows, "table_id long, hash_start long, forward_to long")).select("table_id", "hash_start", "target")
+    """Chains, a loop and a source that isn't there, with the replicas met on the way."""
+    rows = [(1, s, f, [s // 10 + 1, s // 10 + 2]) for s, f in ((0, None), (10, 0), (20, 10), (30, 40), (40, 30), (50, 99))]
+    chains = ring.forward_chain(spark.createDataFrame(rows, "table_id long, hash_start long, forward_to long, replicas array<long>"))
+    return chains.select("table_id", "hash_start", "target", F.array_join("replicas", ",").alias("replicas"))
 
 
 @query(f"""WITH {WRAP}, r AS (SELECT hash_start h, partition_id pid, lead(hash_start) OVER (ORDER BY hash_start) nxt FROM ring),
@@ -408,19 +411,25 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.stage_timings(timings).withColumns({c: F.round(c, 6) for c in ("total_ms", "average_ms")})
 
 
-@query("""WITH recent AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 10000), s AS (SELECT list_sort(list(value)) AS v FROM recent)
+@query("""WITH recent AS (SELECT value FROM events WHERE event_type <> 'signup' ORDER BY event_id DESC LIMIT 10000), s AS (SELECT list_sort(list(value)) AS v FROM recent)
   SELECT v[(len(v) - 1) * 95 // 100 + 1] AS p95_ms FROM s""")
 def load_latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.p95(fixtures.completions(spark, sf_dir))
 
 
-@query("""SELECT count(*) FILTER (WHERE event_type <> 'signup') AS completed, count(*) FILTER (WHERE event_type = 'signup') AS seeded,
-  count(*) FILTER (WHERE event_type IN ('view', 'click')) AS reads, count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS writes, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events""")
+DONE = "done AS (SELECT *, event_type = 'signup' AS seed, event_type = 'error' AS failed, CASE WHEN event_type = 'error' THEN '500' WHEN event_id % 7 = 0 THEN '404' ELSE '204' END AS status FROM events)"
+LOAD_COUNTS = """count(*) FILTER (WHERE NOT seed) AS completed, count(*) FILTER (WHERE seed) AS seeded,
+  count(*) FILTER (WHERE event_type IN ('view', 'click')) AS reads, count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS writes, count(*) FILTER (WHERE NOT seed AND failed) AS errors,
+  count(*) FILTER (WHERE NOT seed AND NOT failed AND status = '404') AS misses, count(*) FILTER (WHERE NOT seed AND NOT failed AND status <> '404') AS successes,
+  count(*) FILTER (WHERE seed AND status <> '204') AS seed_errors"""
+
+
+@query(f"WITH {DONE} SELECT {LOAD_COUNTS} FROM done")
 def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.counts(fixtures.completions(spark, sf_dir))
 
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1")
+@query(f"WITH {DONE} SELECT status, count(*) AS n FROM done WHERE NOT seed GROUP BY 1")
 def load_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two halves, merged."""
     done = fixtures.completions(spark, sf_dir)
@@ -522,8 +531,7 @@ def table_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.file_size(fixtures.events(spark, sf_dir))
 
 
-@query("""SELECT count(*) FILTER (WHERE event_type <> 'signup') AS completed, count(*) FILTER (WHERE event_type = 'signup') AS seeded, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS reads,
-  count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS writes, count(*) FILTER (WHERE event_type = 'error') AS errors, 0.0::DOUBLE AS current_tps,
-  round(count(*) / 10000000.0::DOUBLE, 1) AS average_tps, (SELECT v[(len(v) - 1) * 95 // 100 + 1] FROM (SELECT list_sort(list(value)) AS v FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 10000))) AS p95_ms FROM events""")
+@query(f"""WITH {DONE} SELECT {LOAD_COUNTS}, 0.0::DOUBLE AS current_tps, round(count(*) FILTER (WHERE NOT seed) / 10000000.0::DOUBLE, 1) AS average_tps,
+  (SELECT v[(len(v) - 1) * 95 // 100 + 1] FROM (SELECT list_sort(list(value)) AS v FROM (SELECT value FROM done WHERE NOT seed ORDER BY event_id DESC LIMIT 10000))) AS p95_ms FROM done""")
 def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.report(fixtures.completions(spark, sf_dir), 1_700_000_000_000, 1_710_000_000_000)

@@ -72,7 +72,7 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return events(spark, sf_dir).select(
-        F.col("event_id").alias("seq"), F.when(failed, "error").otherwise("ok").alias("status"), F.col("event_type").isin("view", "click").alias("read"),
+        F.col("event_id").alias("seq"), F.when(failed, "500").when(F.col("event_id") % 7 == 0, "404").otherwise("204").alias("status"), F.col("event_type").isin("view", "click").alias("read"),
         (F.col("event_type") == "signup").alias("seed"), F.col("value").alias("latency"), F.when(failed, F.lit("failed")).alias("error"),
         F.floor(micros("ts") / 1000).cast("long").alias("time_ms"), (F.col("user_id") % 5).alias("worker"),
     )

@@ -74,3 +74,16 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 def truncated(log: DataFrame, committed_seq: int) -> DataFrame:
     """What must be kept once everything below a sequence number is applied."""
     return log.where(F.col("seq") >= committed_seq)
+
+
+def truncate(spark: SparkSession, path: str, committed_seq: int) -> int:
+    """Removes the segment files of which every entry is below a sequence number, as all of these are applied; returns how many went."""
+    last = spark.read.schema(_json_schema()).json(path).groupBy(F.input_file_name().alias("file")).agg(F.max("seq").alias("last"))
+    return remove(spark, [r.file for r in last.where(F.col("last") < committed_seq).collect()])  # a row a segment
+
+
+def remove(spark: SparkSession, places: list[str]) -> int:
+    """Deletes files or folders by way of Spark's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in places]
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in paths)
