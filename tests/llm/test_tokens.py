@@ -36,6 +36,20 @@ def test_pieces_give_the_librarys_ids(name):
     assert e.encode(texts) == whole and e.encode(texts) == whole  # the second time from the cache
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_with_runs_of_white_space(name):
+    """Texts are cut beside any white space just where the library cuts them: nothing is encoded whole."""
+    import random
+
+    pieces, tokenizer = PieceEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    r = random.Random(1)
+    parts = ["the", " ", "  ", "\n", " \n", "\t", " \t", "word", "Été", "'s", "12", ".", "...", "\r\n", "\u00a0", "\x1c", "  \n  ", "foo-bar", " x", "y ", "\u3000", "it's"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)] + [" ", "  ", "a  ", "  a", "\n a  b\n\n  c "]
+    for text, packed in zip(texts, pieces.encode(texts)):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert packed == pack_ids(want) and sum(pieces.count(pieces.spelled(pieces.pre_tokens(text)))) == len(want)
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     from tidemark.llm import tokens
 
@@ -61,7 +75,7 @@ def test_differencing_balances():
 
 
 def test_differencing_merges_opposing_imbalances():
-    assert {tuple(sorted(s)) for s in packing.differencing([8, 7, 6, 5, 4], 2)} == {(0, 2), (1, 3, 4)} or {sum([8, 7, 6, 5, 4][i] for i in s) for s in packing.differencing([8, 7, 6, 5, 4], 2)} == {14, 16}
+    assert {sum([8, 7, 6, 5, 4][i] for i in s) for s in packing.differencing([8, 7, 6, 5, 4], 2)} == {14, 16}
     assert [sum([5, 5, 5, 5][i] for i in s) for s in packing.differencing([5, 5, 5, 5], 4)] == [5, 5, 5, 5]
 
 

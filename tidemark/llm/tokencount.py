@@ -86,7 +86,8 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A pre-token has one row a block, whose size is bounded by the block, and one that many
     of a block's documents have is spread over SPREAD keys: no frequent word is a hot key.
-    Lists travel as packed 32-bit integers.  Texts that can't be cut (other runs of spaces) are encoded whole where they are read.
+    Lists travel as packed 32-bit integers.  Vocabularies whose
+    pre-tokens aren't known are used on whole texts where these are read.
 
     Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are counted each for itself
     (rows are told apart by their place, not by id); null ids stay.  An empty table gives no
@@ -139,13 +140,21 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 return
             block, entry, n = map(np.concatenate, zip(*held))
             held.clear()
-            doc = entry >> COUNT_BITS
+            # one sort by block and document, whatever number of blocks there is
             names, at = np.unique(block, return_inverse=True)
-            for k, name in enumerate(names.tolist()):
-                here = at == k
-                total = np.bincount(doc[here], weights=n[here])
-                some = np.flatnonzero(total)
-                sums = np.stack([some, total[some].astype(np.int64)]).tobytes()
+            place = at << 18 | entry >> COUNT_BITS
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            begins = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            total = np.add.reduceat(n[order].astype(np.int64), begins)
+            place = place[begins]
+            some = total > 0
+            place, total = place[some], total[some]
+            ends = np.searchsorted(place >> 18, np.arange(len(names)), "right")
+            begin = 0
+            for name, end in zip(names.tolist(), ends.tolist()):
+                sums = np.stack([place[begin:end] & (BLOCK_DOCS - 1), total[begin:end]]).tobytes()
+                begin = end
                 yield pa.RecordBatch.from_arrays([pa.array([sums], pa.binary()), pa.array([name], pa.int64()), pa.nulls(1, pa.binary())], names=["docs", "block", "head"])
 
         for batch in batches:

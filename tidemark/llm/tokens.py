@@ -5,8 +5,8 @@ pieces, put one after another, are the ids of the text:
 
 * ``words``: the tokenizer drops white space, so every space and line end is a cut;
 * ``bytes``: a space that stands before a character that is no white space opens a
-  new pre-token whatever stands before it.  A text with other runs of spaces is
-  encoded whole.
+  new pre-token whatever stands before it, and white space before such a space is a
+  pre-token of its own: it stays at the end of the piece before.
 
 Pieces repeat, so most of them are found in the cache and never reach the library.
 Long pieces are encoded but not kept, and a full cache drops all but its first pieces: its
@@ -63,8 +63,9 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b if b in _PRINTABLE else 256 + sum(c not in _PRINTABLE for c in range(b)) for b in range(256)}
 #: What stands for a piece that can't be cut off; no ids are a single byte.
 _UNCUT = b"-"
-#: A space that doesn't open a pre-token with the character after it.
+#: A space that doesn't open a pre-token with the character after it, and one that does.
 _SPACES = re.compile(r" (?=\s|$)")
+_OPENING = re.compile(r" (?=\S)")
 
 
 class PieceEncoder:
@@ -112,7 +113,7 @@ class PieceEncoder:
         if self.mode == "words":
             return text.replace("\n", " ").split(" ")
         if self.mode == "bytes":
-            return text.split(" ")
+            return _OPENING.split(text) if "  " in text or " \n" in text or text.endswith(" ") else text.split(" ")
         return [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -143,7 +144,7 @@ class PieceEncoder:
             if first is None:
                 out.append(b"".join(ids))
             else:
-                out.append(self.whole([texts[i]])[0] if _UNCUT in ids else first[i] + b"".join(ids))
+                out.append(self.whole([texts[i]])[0] if _UNCUT in ids else first[i] + b"".join(ids))  # rare white space after a space
         for p in missing:
             if len(p) > PIECE_CHARS:
                 del cache[p]
@@ -158,6 +159,7 @@ class PieceEncoder:
         out: dict[str, bytes] = {}
         parts: list[tuple[str, str, str, str | None, str | None]] = []
         whole: list[str] = []
+        spaced: list[str] = []
         in_words = self.mode == "words"
         for p in pieces:
             if not in_words and (not p or p[0].isspace()):
@@ -167,6 +169,8 @@ class PieceEncoder:
             elif m := _SIMPLE.fullmatch(p):
                 word, signs, second, more = m.groups()
                 parts.append((p, word.lower() if in_words else word, signs, second, more))
+            elif " " in p and not in_words:
+                spaced.append(p)
             else:
                 whole.append(p)
         cache, bare = self.cache, self.bare
@@ -185,6 +189,7 @@ class PieceEncoder:
             out[p] = ids
         cache.update((w, ids) for w, ids in kept.items() if len(w) <= PIECE_CHARS)
         out.update(zip(whole, self._joined(whole, led=True) if not in_words else self.whole(whole)))
+        out.update(zip(spaced, self.whole([" " + p for p in spaced])))
         return [out[p] for p in pieces]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -232,9 +237,9 @@ class PieceEncoder:
 
     def pre_tokens(self, text: str) -> list | None:
         """Names of the text's pieces, to be given to ``spelled``; None if it has to be encoded whole."""
-        if self.mode == "whole" or self.mode == "bytes" and _SPACES.search(text):
+        if self.mode == "whole":
             return None
-        cut: list = self._cut(text)
+        cut: list = _OPENING.split(text) if self.mode == "bytes" and _SPACES.search(text) else self._cut(text)
         if self.mode == "bytes":
             cut[0] = (cut[0],)  # no space before it
         return cut
@@ -250,9 +255,10 @@ class PieceEncoder:
             self.cache = {}
         if self.mode != "bytes":
             return [len(x) // 4 for x in self._pieces(pieces)]
-        inner = iter(self._pieces([p[1:] for p in pieces if p.startswith(" ")]))
-        first = iter(self.whole([p for p in pieces if not p.startswith(" ")]))
-        return [len(next(inner if p.startswith(" ") else first)) // 4 for p in pieces]
+        led = [p[:1] == " " and not p[1:2].isspace() and len(p) > 1 for p in pieces]
+        inner = iter(self._pieces([p[1:] for p, x in zip(pieces, led) if x]))
+        other = iter(self.whole([p for p, x in zip(pieces, led) if not x]))
+        return [len(next(inner if x else other)) // 4 for x in led]
 
     def _first(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces at the start of texts, which have no space before them."""
