@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, tokencount, tokenfile
-from tidemark.llm.tokens import PieceEncoder, tokenizer_path
+from tidemark.llm.tokens import PieceEncoder, pack_ids, tokenizer_path
 
 ODD = [" ", "  ", "\n", "\t", "a", "É", "é", "́", "<|endoftext|>", "<|startoftext|>", "'s", "'", "1", "漢", "\x1c", "　", ".", "foo", "Bar", "ß", "\xa0", "\r", "İ", "Σ", " \n", "###", "don't", "x" * 60]
 TEXTS = [None, "", " ", "plain words here", "two  spaces", "tail ", "line\nline.\nLast", "<|endoftext|> and <|endoftext|>x", "word " * 3000, "y" * 30_000, "퟿", "é" * 5]
