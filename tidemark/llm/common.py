@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds over a 1/HEAVY_SHARE part of the rows; so fewer than HEAVY_SHARE keys are, whatever the input's size.
 HEAVY_SHARE = 1000
+_KEPT: dict[str, Any] = {}
+
+
+def worker_keeps(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made when it isn't there.
+
+    A worker serves one stage after another; it keeps the last thing asked for alone, so the
+    caches of several operators don't add up in its memory.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def shared_dir(spark: SparkSession) -> str:

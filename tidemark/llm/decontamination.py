@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, stored
+from tidemark.llm.common import fresh, stored, worker_keeps
 from tidemark.llm.tokens import text_parts
 
 #: Words in a window, and the share of an item's windows that a contaminated document holds.
@@ -24,7 +24,7 @@ LEAST_ITEM = 3
 #: Bits of the filter that windows of texts have to pass before they are joined with the benchmark's: 8 MB, whatever the benchmark's size.
 FILTER_BITS = 26
 #: Distinct words that a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Units that a number may have.
 UNITS = frozenset(
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of texts that pass the filter."""
-        words, bits, shift = _words(), table.value, np.uint64(64 - FILTER_BITS)
+        words, bits, shift = worker_keeps("words", Words), table.value, np.uint64(64 - FILTER_BITS)
         names = ["k1", "k2", "hash", "at", "theirs"]
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -279,13 +279,3 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     best = stored(best.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("best.item").alias(item), F.col("best.less").alias(less)), "leaks")
     told = spare.withColumns({k1: key[0], k2: key[1]}).join(best, [k1, k2], "left")
     return told.withColumns({item_out: F.col(item).cast(item_type), share_out: -F.col(less)}).select(*spare.columns, item_out, share_out)
-
-
-_KEPT: list[Words] = []
-
-
-def _words() -> Words:
-    """The worker's words."""
-    if not _KEPT:
-        _KEPT.append(Words())
-    return _KEPT[0]

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import worker_keeps
 from tidemark.llm.tokens import text_parts
 
 UNDETERMINED = "und"
@@ -23,14 +24,11 @@ BLOCK = 1 << 20
 #: Entries of the matrix that are gathered at a time.
 GATHER = 1 << 22
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-_LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     """By code point, whether it is a letter or a mark that belongs to one."""
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+    return worker_keeps("letters", lambda: np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000))
 
 
 def _hashed(points: np.ndarray, owner: np.ndarray, new: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import skew_join, stored, text_or_empty
+from tidemark.llm.common import skew_join, stored, text_or_empty, worker_keeps
 from tidemark.llm.components import components
 from tidemark.llm.tokens import text_parts
 
@@ -288,6 +288,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("no cache", dict)
         for batch in batches:
             for a, b, part in text_parts(batch.column(1)):
                 sets = [shingle_set(t, shingle) for t in part]

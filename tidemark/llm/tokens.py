@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.common import worker_keeps
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bound of the cache: pieces held, those of them that stay when it is full (the first met, which are the frequent ones), and the length of a piece that is held.
@@ -276,14 +278,9 @@ class PieceEncoder:
         return [out.get(p, b"") for p in pieces]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a vocabulary file."""
+    return worker_keeps(path, lambda: PieceEncoder(path))
 
 
 def in_parts(sizes: Iterable[int], limit: int = WORK_CHARS) -> Iterator[tuple[int, int]]:
