@@ -216,6 +216,6 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang_out:
         said, score, fit = shared.value.predict_all(texts.tolist())
         return pd.DataFrame({"lang": said, "score": score, "fit": fit})
 
-    said = scored(F.col(text_col))
+    said = scored.asNondeterministic()(F.col(text_col))  # or a filter on what it says scores texts a second time
     return docs.withColumns({lang_out: said["lang"], score_out: said["score"]} | ({fit_out: said["fit"]} if fit_out else {}))
 
