@@ -21,8 +21,10 @@ from tidemark.llm.shards import committed, file_rows, filesystem, make_folder, s
 
 #: A file is closed at so many compressed bytes.
 FILE_BYTES = 32 << 20
-#: Shards are cut into SHARDS equal parts of the records' bytes, or of so many bytes at least and at most; there are never more than MOST_SHARDS.
-SHARDS, LEAST_SHARD, MOST_SHARD, MOST_SHARDS = 256, 4 << 20, 256 << 20, 65_536
+#: Shards are SHARDS equal parts of the records' bytes, or of so many bytes at least and at most; their first rows (16 bytes a shard) are broadcast, of MOST_SHARDS at most.
+SHARDS, LEAST_SHARD, MOST_SHARD, MOST_SHARDS = 256, 4 << 20, 256 << 20, 1 << 20
+#: Shards are written by a task each, or by so many tasks.
+MOST_TASKS = 32_768
 HEADER_BYTES = 512
 #: Rows that are the same in all columns, and over a thousandth of the table, are written in runs of so many.
 COPIES = 10_000
@@ -188,9 +190,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
     none = {"to_id": F.lit(None).cast("long"), "to_url": F.lit(None).cast("string")}
     both = rows.withColumns(none | {"copy": F.lit(0).cast("long"), "run": F.lit(1).cast("long")}).unionByName(named.withColumns({"payload": F.lit(None).cast("binary"), "copy": F.lit(-1).cast("long"), "run": F.lit(0).cast("long")}))
-    both = both.withColumn("shard", shard_of("key", "h"))
+    both, at = both.withColumn("shard", shard_of("key", "h")), len(keys)
     if hot:
-        begins, at = [], len(keys)
+        begins = []
         for r in hot:
             begins.append((r.id, r.url, r.sha1, r.copies, at))
             at += -(-(r.copies - 1) // COPIES)
@@ -200,7 +202,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         told = once.join(F.broadcast(named.join(many, is_hot, "left_semi").select(F.col("id").alias("n_id"), F.col("url").alias("n_url"), F.col("sha1").alias("n_sha1"), "to_id", "to_url")), F.col("id").eqNullSafe(F.col("n_id")) & F.col("url").eqNullSafe(F.col("n_url")) & (F.col("sha1") == F.col("n_sha1")), "left")
         told = told.withColumn("payload", F.when(F.col("size") < least_bytes, F.col("payload"))).join(F.broadcast(runs), is_hot)
         both = both.unionByName(told.select(*both.columns))
-    ordered = both.repartition("shard").sortWithinPartitions("shard", *same, "copy")
+    tasks = min(max(at, 1), MOST_TASKS)
+    ordered = both.repartitionById(tasks, F.floor(F.col("shard") * tasks / max(at, 1)).cast("int")).sortWithinPartitions("shard", *same, "copy")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = filesystem(folder)
