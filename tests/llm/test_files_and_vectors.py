@@ -144,6 +144,41 @@ def test_more_vectors_take_more_passes():
     assert embeddings.passes_for(10**6, 0.93) < embeddings.passes_for(10**9, 0.93)
 
 
+def test_vectors_with_a_common_direction_are_found(spark):
+    """Passes go on until they find nothing new, so a direction that all vectors have in common loses no pair."""
+    r = np.random.default_rng(8)
+    common = r.standard_normal(32)
+    common /= np.linalg.norm(common)
+
+    def unit(x):
+        return x / np.linalg.norm(x)
+
+    def own():
+        x = r.standard_normal(32)
+        return unit(x - (x @ common) * common)
+
+    rows = []
+    for i in range(4000):
+        x = np.sqrt(0.7) * common + np.sqrt(0.3) * own()
+        rows.append(x)
+        if i % 20 == 0:
+            y = r.standard_normal(32)
+            rows.append(0.94 * x + np.sqrt(1 - 0.94**2) * unit(y - (y @ x) * x))
+    units = np.array([[float(np.float32(v)) for v in x] for x in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    n_links = (units @ units.T >= 0.93).sum(axis=1) - 1
+    assert (n_links > 0).sum() >= 400
+    df = spark.createDataFrame([(i, [float(v) for v in x], 1) for i, x in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {i: n for i, n, _ in near(df)}
+    assert sum(got[i] != n for i, n in enumerate(n_links.tolist())) <= 2
+
+
+def test_vectors_of_very_large_and_small_numbers(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 1e199], 1), (3, [1e-200, 1e-201], 1), (4, [0.0, 1e300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert near(df) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_vectors_equal_their_sql(spark, sf_dir):
     same(spark, sf_dir, queries.op7_embeddings, embeddings.ORACLE_SQL)
 

@@ -19,7 +19,7 @@ SEED = 7
 BITS = 62
 WINDOW = 64
 LEAST_PASSES = 8
-#: A pair at the threshold meets with this probability in some pass, however many vectors there are.
+#: A pair at the threshold meets with this probability in some pass if directions are spread evenly; passes go on until a round of them brings no larger share of new links between components than 1 - RECALL.
 RECALL = 0.999
 #: Rows compared at once.
 BLOCK = 256
@@ -31,7 +31,8 @@ def passes_for(vectors: int, cosine: float, window: int = WINDOW) -> int:
     """Passes in which a pair at the threshold is met with probability RECALL.
 
     Vectors at an angle a agree in a bit with probability 1 - a/pi; those that agree in the
-    log2(n / window) first bits stand within a window of each other.
+    log2(n / window) first bits stand within a window of each other, where directions are
+    spread evenly.
     """
     agree = 1 - math.acos(cosine) / math.pi
     met = agree ** max(0.0, math.log2(max(1, vectors) / window))
@@ -39,11 +40,23 @@ def passes_for(vectors: int, cosine: float, window: int = WINDOW) -> int:
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    """Lists of one length as rows of unit length, in double precision."""
+    """Lists of one length as rows of unit length, in double precision; scaled by powers of two first, so that no square overflows."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _begins(columns: list[pa.Array]) -> list[int]:
+    """Where the values of the columns change from one row to the next, and the end."""
+    n = len(columns[0])
+    if not n:
+        return [0]
+    changed = np.zeros(n - 1, dtype=bool)
+    for c in columns:
+        changed |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(changed) + 1).tolist(), n]
+
+
 def _stars(links: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges from each place to the first of its component, for a symmetric matrix of links."""
     todo = links.any(axis=1)
@@ -68,8 +81,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     1. Equal vectors are one class; classes are what is searched.
     2. In each pass, classes are hashed to the signs of random projections, ordered by these
        (within label and dimension) and compared with their neighbours in the order; the
-       pairs that pass verification are united over all passes.  The number of passes
-       follows from the size of the largest label (``passes_for``).
+       pairs that pass verification are united over all passes.  The least number of passes
+       follows from the size of the largest label (``passes_for``), as if directions were
+       spread evenly.  Passes are made in rounds of half that number, and rounds go on until
+       the last united hardly any components (a share of 1 - RECALL): what a round of
+       passes finds that those before it missed is the measure of what is still missed,
+       whatever the directions are, and so of pairs at the borders of ranges too.
     3. All links lie within components, so those of each component are counted exactly,
        in blocks: the window bounds which pairs are searched, not the links of a vector.
 
@@ -94,33 +111,38 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     classes = stored(good.groupBy("label", "vector").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 0
     passes = passes_for(largest, cosine, window)
+    step = -(-passes // 2)
     label = classes.schema["label"].dataType.simpleString()
     item = classes.schema["vector"].dataType.simpleString()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sizes = pc.list_value_length(batch.column(2))
-            for dim in pc.unique(sizes).to_pylist():
-                part = batch.filter(pc.equal(sizes, dim))
-                units = _units(part.column(2))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((passes, BITS, dim))
-                for k in range(passes):
-                    signs = (units @ planes[dim][k].T > 0).astype(np.int64)
-                    names = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, dim, np.int32)), part.column(0), pa.array(names), part.column(1), part.column(2)], names=["pass", "dim", "label", "hash", "class", "vector"])
+    def hashed(at: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes: dict[int, np.ndarray] = {}
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(2))
+                for dim in pc.unique(sizes).to_pylist():
+                    part = batch.filter(pc.equal(sizes, dim))
+                    units = _units(part.column(2))
+                    if dim not in planes:
+                        planes[dim] = np.stack([np.random.default_rng([seed, dim, k]).standard_normal((BITS, dim)) for k in range(at, at + step)])
+                    for k in range(step):
+                        signs = (units @ planes[dim][k].T > 0).astype(np.int64)
+                        names = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at + k, np.int32)), pa.array(np.full(n, dim, np.int32)), part.column(0), pa.array(names), part.column(1), part.column(2)], names=["pass", "dim", "label", "hash", "class", "vector"])
+
+        return run
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, units = None, np.empty(0, np.int64), None
         for batch in batches:
-            groups = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "dim", "label"))))
-            begins = [i for i, g in enumerate(groups) if not i or g != groups[i - 1]] + [len(groups)]
+            keyed = [batch.column(c) for c in ("pass", "dim", "label")]
+            begins = _begins(keyed)
             edges: list[tuple[int, int]] = []
             for a, b in zip(begins, begins[1:]):
                 own, x = batch.column("class")[a:b].to_numpy(), _units(batch.column("vector")[a:b])
-                if groups[a] == last:  # the order goes on from the batch before
+                group = tuple(c[a].as_py() for c in keyed)
+                if group == last:  # the order goes on from the batch before
                     own, x = np.append(ids, own), np.concatenate([units, x])
                 for at in range(0, len(own), BLOCK):
                     block = x[at : at + BLOCK + window]
@@ -128,12 +150,20 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     links = (block @ block.T >= cosine) & near
                     np.fill_diagonal(links, False)
                     edges += [(int(own[at + i]), int(own[at + j])) for i, j in _stars(links)]
-                last, ids, units = groups[a], own[-window:], x[-window:]
+                last, ids, units = group, own[-window:], x[-window:]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    listed = classes.select("label", "class", "vector").mapInArrow(hashed, f"pass int, dim int, label {label}, hash long, class long, vector {item}")
-    ordered = listed.repartitionByRange("pass", "dim", "label", "hash", "class").sortWithinPartitions("pass", "dim", "label", "hash", "class")
-    roots = stored(components(ordered.mapInArrow(compared, "a long, b long")), "components")
+    roots, at, united = None, 0, 0
+    while True:
+        listed = classes.select("label", "class", "vector").mapInArrow(hashed(at), f"pass int, dim int, label {label}, hash long, class long, vector {item}")
+        ordered = listed.repartitionByRange("pass", "dim", "label", "hash", "class").sortWithinPartitions("pass", "dim", "label", "hash", "class")
+        edges = ordered.mapInArrow(compared, "a long, b long")
+        if roots is not None:  # components so far, as stars
+            edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = stored(components(edges), "components")
+        at, before, united = at + step, united, roots.where("node <> root").count()
+        if at >= passes and united - before <= (1 - RECALL) * united:
+            break
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within a chunk or between two, for each block; rows are sorted by block."""
@@ -158,13 +188,14 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
         last = None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi"))))
-            begins = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]] + [len(keys)]
+            keyed = [batch.column(c) for c in ("root", "lo", "hi")]
+            begins = _begins(keyed)
             for a, b in zip(begins, begins[1:]):
-                if keys[a] != last and held:
+                key = tuple(c[a].as_py() for c in keyed)
+                if key != last and held:
                     yield done()
                     held.clear()
-                last = keys[a]
+                last = key
                 held.append(batch.slice(a, b - a))
         if held:
             yield done()
