@@ -49,7 +49,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = stored(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated_runs")
     later = skew_join(runs, first, ["h1", "h2"], "n").where(place > F.col("first"))
     gone = later.groupBy("id", "mark").agg(F.flatten(F.collect_set(F.array(*(F.col("at") + j for j in range(LINES))))).alias(covered))
-    gone = stored(gone, "removed_lines").withColumnsRenamed({"id": f"{covered}_id", "mark": f"{covered}_mark"})
+    # merged whatever its size: its file's size says little of the positions' size in memory, and the plan is one for all sizes
+    gone = stored(gone, "removed_lines").hint("merge").withColumnsRenamed({"id": f"{covered}_id", "mark": f"{covered}_mark"})
     same = F.col(id_col).eqNullSafe(F.col(f"{covered}_id")) & (F.col(mark) == F.col(f"{covered}_mark"))
     # a text travels as its lines, cut once below the join: an expression inside the lambda would cut it again for each line
     joined = marked.withColumn(text_col, split).join(gone, same, "left").drop(f"{covered}_id", f"{covered}_mark", mark)
