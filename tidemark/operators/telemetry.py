@@ -33,19 +33,24 @@ def access_stats(accesses: DataFrame, now_ms: int, start_ms: int | None = None,
     ``start_ms`` is when the node began to observe; an older access moves it back.  A full
     sample is observed from its oldest access on.  Sums are exact, averages truncated, and the
     median is the upper middle one of the written positions.  Accesses without a label don't count.
+
+    Accesses are counted by position first, and the median is found in running counts, so no
+    list of a partition's accesses is held in memory.
     """
     labelled = accesses.where(sampled())
     oldest = F.least(F.min("time_ms"), F.lit(start_ms).cast("long"))
     begun = labelled.agg(oldest.alias("begun"))
     kept = labelled if bound is None else newest(labelled, bound)
-    writes = F.count_if("is_write")
-    grouped = kept.groupBy(*GROUP).agg(
-        F.count("*").alias("n"),
-        F.min("time_ms").alias("oldest"),
-        F.count_if(~F.col("is_write")).alias("read_count"),
-        writes.alias("write_count"),
-        F.coalesce(F.sum(F.when(F.col("is_write"), F.col("partition_key").cast("decimal(20,0)"))), F.lit(0)).cast(WIDE).alias("position_sum"),
-        F.array_sort(F.collect_list(F.when(F.col("is_write"), F.col("partition_key")))).alias("positions"),
+    keyed = kept.groupBy(*GROUP, "partition_key").agg(F.count("*").alias("n"), F.min("time_ms").alias("oldest"), F.count_if(~F.col("is_write")).alias("reads"), F.count_if("is_write").alias("writes"))
+    by_key = Window.partitionBy(*GROUP).orderBy("partition_key")
+    placed = keyed.withColumns({"up_to": F.sum("writes").over(by_key.rowsBetween(Window.unboundedPreceding, 0)), "in_all": F.sum("writes").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    grouped = placed.groupBy(*GROUP).agg(
+        F.sum("n").alias("n"),
+        F.min("oldest").alias("oldest"),
+        F.sum("reads").alias("read_count"),
+        F.sum("writes").alias("write_count"),
+        F.coalesce(F.sum(F.when(F.col("writes") > 0, F.col("partition_key").cast(WIDE) * F.col("writes")).cast(WIDE)), F.lit(0)).cast(WIDE).alias("position_sum"),
+        F.min(F.when(F.col("up_to") > F.floor(F.col("in_all") / 2), F.struct("up_to", "partition_key")))["partition_key"].alias("median_write_position"),
     )
     start = F.when(F.col("n") == F.lit(bound), F.col("oldest")).otherwise(F.col("begun")) if bound is not None else F.col("begun")
     timed = grouped.crossJoin(F.broadcast(begun)).withColumn("start_ms", start).withColumn("window_seconds", (F.lit(now_ms) - F.col("start_ms")) / 1000.0)  # begun is one row
@@ -54,8 +59,7 @@ def access_stats(accesses: DataFrame, now_ms: int, start_ms: int | None = None,
         *GROUP, "start_ms", F.lit(now_ms).cast("long").alias("end_ms"),
         rate("read_count").alias("reads_per_second"), rate("write_count").alias("writes_per_second"), F.lit(1).cast("long").alias("contributing_nodes"),
         truncated_average(F.col("position_sum"), F.col("write_count")).alias("average_write_position"),
-        F.try_element_at("positions", (F.floor(F.col("write_count") / 2) + 1).cast("int")).alias("median_write_position"),
-        "read_count", "write_count", F.col("position_sum").cast("string").alias("write_position_sum"), "window_seconds",
+        "median_write_position", "read_count", "write_count", F.col("position_sum").cast("string").alias("write_position_sum"), "window_seconds",
     )
 
 
