@@ -121,6 +121,19 @@ def test_trailing_counts_of_a_busy_worker(spark):
     assert got == {i: sum(w == v and t - 50 <= u <= t for _, v, u in rows) for i, w, t in rows}
 
 
+def test_trailing_counts_of_many_times_in_a_window(spark):
+    """A window's times are not summed anew for each of its ends; null times are of one time, and any width does."""
+    rows = [(i, i % 2 or None, t) for i, t in enumerate([*range(-30, 31), None, None, 7, 7, -20])]
+    df = spark.createDataFrame(rows, "seq long, worker long, time_ms long")
+    for width in (0, 1, 7, 20, 1000):
+        got = {x.seq: x.recent for x in load.trailing(df, width).collect()}
+        assert got == {i: sum(w == v and (t is None and u is None or None not in (t, u) and t - width <= u <= t) for _, v, u in rows) for i, w, t in rows}
+    with pytest.raises(InvalidArgument):
+        load.trailing(df, -1)
+    plan = load.trailing(df, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and "RangeFrame" not in plan
+
+
 def test_file_size(spark, tmp_path):
     import glob
     import os

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
 from tidemark.operators.telemetry import newest
 from tidemark.schema import LATENCIES
 
@@ -62,16 +63,25 @@ def throughput(completions: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
 def trailing(completions: DataFrame, width_ms: int = 1000) -> DataFrame:
     """For each worker's completions, how many it had in the time up to each, both ends included.
 
-    A worker's times are counted first, and cut into stretches of the width: a window ends in
-    its own stretch and begins there or in the one before, so each stretch is worked on with
-    a copy of the one before, however many completions the worker has.
+    A worker's times are counted first, and cut into stretches of the width.  A window ends in
+    its own stretch and begins there or in the one before: it holds all of the stretch before,
+    and what its own has up to its end, without what the stretch before had until the window's
+    begin.  So one running sum over a stretch, with a copy of the one before that is taken
+    off, gives all windows, however many times they hold.  Null times are of one time.
     """
+    if width_ms < 0:
+        raise InvalidArgument("width must not be negative")
     width = max(width_ms, 1)
     counted = completions.groupBy("worker", "time_ms").agg(F.count("*").alias("n"))
     own = F.floor(F.col("time_ms") / width)
-    spread = counted.withColumn("stretch", F.explode(F.array(own, own + 1))).withColumn("own", F.col("stretch") == own)
-    before = Window.partitionBy("worker", "stretch").orderBy("time_ms").rangeBetween(-width_ms, 0)
-    summed = spread.withColumn("recent", F.sum("n").over(before)).where("own").select(F.col("worker").alias("w"), F.col("time_ms").alias("t"), "recent")
+    stretches = F.array(own, own + 1) if width_ms else F.array(own)
+    spread = counted.select("*", F.posexplode(stretches).alias("late", "stretch")).withColumn("place", F.pmod("time_ms", F.lit(width)))
+    late = F.col("late") == 1
+    spread = spread.where(~late | F.col("stretch").isNotNull())
+    by_place = Window.partitionBy("worker", "stretch").orderBy("place", "late")
+    before = F.sum(F.when(late, F.col("n")).otherwise(0)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    since = F.sum(F.when(late, -F.col("n")).otherwise(F.col("n"))).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    summed = spread.withColumn("recent", before + since).where(~late).select(F.col("worker").alias("w"), F.col("time_ms").alias("t"), "recent")
     return completions.join(summed, F.col("worker").eqNullSafe(F.col("w")) & F.col("time_ms").eqNullSafe(F.col("t")), "left").drop("w", "t")
 
 
