@@ -1,10 +1,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tokenizers import Tokenizer
 
 from brute_templates import held_items
-from tidemark.llm import langid
+from tidemark.llm import langid, simhash
 from tidemark.llm.tokens import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,6 +89,47 @@ def test_near_dedup_finds_copies_of_similarity_four_fifths(spark, sf_dir):
     assert sorted(r.doc_id for r in got) == sorted(own[i].doc_id for i in set(root))
 
 
+def test_near_dedup_compares_few_of_a_group_below_the_limit(spark, sf_dir, monkeypatch):
+    """Texts of one origin, nearly all of them below the limit to one another: the sets of pairs that can't be near aren't fetched, and no group is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((2, 3, 3, 4))):
+            words[at] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(words))
+    made, kept = {}, simhash.stored
+
+    def noted(df, name="table"):
+        made[name] = kept(df, name)
+        return made[name]
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    root = five_word_groups(texts)
+    told = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in told} == dict(enumerate(root)) and 3 < len(set(root)) < 297
+    assert made["split_classes"].select("sig").distinct().count() > 100 and made["open_pairs"].count() < 900
+
+
+def test_no_near_sets_are_left_out(spark):
+    """At any size, folded or not: sets of similarity 0.8 pass, and most of those below 0.7 don't."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in (0, 1, 4, 5, 8, 9, 16, 17, 20, 64, 100, 128, 129, 130, 256, 257, 260, 900, 1024, 1025, 1100, 5000):
+        for more in (0, 1, n // 9, n // 8, n // 5, n // 4, n // 2):
+            for swapped in (0, 1, n // 20, n // 10, n // 9, n // 8, n // 5):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                b = np.unique(np.concatenate([a[min(swapped, n) :], rng.integers(0, 1 << 63, min(swapped, n) + more, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                rows.append((len(a), simhash.parity(a).tolist(), len(b), simhash.parity(b).tolist(), both / max(1, len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "n int, p array<long>, m int, q array<long>, similarity double")
+    said = [(r.similarity, r.a, r.b, r.n) for r in df.select("similarity", "n", simhash.may_be_near(df.n, df.p, df.m, df.q).alias("a"), simhash.may_be_near(df.m, df.q, df.n, df.p).alias("b")).collect()]
+    assert all(a and b for s, a, b, _ in said if s >= 0.8) and sum(s >= 0.8 for s, *_ in said) > 100
+    far = [bool(a) for s, a, _, n in said if s < 0.7 and 16 < n < 1500]
+    assert len(far) > 100 and sum(far) < len(far) / 20
+
+
 def test_repeated_rows_leave_one(spark, sf_dir):
     rows = [(1, "a b c d e", "en", "s", 9)] * 3 + [(None, "other words entirely here", None, None, None)] * 2
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()

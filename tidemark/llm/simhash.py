@@ -210,6 +210,8 @@ NEAR_FIRST = 0.6
 #: Texts of a bucket that are paired at once, and texts compared with one text in a task.
 CHUNK = 256
 SALT = 4096
+#: Longs of the parities of a set's shingles, at most; up to that they hold four bits or more for a shingle.
+PARITIES = 64
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -250,6 +252,29 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes of a set fall on each of a power of two of bits; halves folded by XOR are those on half as many bits."""
+    longs = min(PARITIES, 1 << max(0, (len(hashes) - 1).bit_length() - 4))
+    ones = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_be_near(size: Column, parities: Column, other_size: Column, other_parities: Column) -> Column:
+    """False only for two sets whose similarity is below OVER / UNDER.
+
+    Near sets have at most (UNDER - OVER) / (UNDER + OVER) of both sizes' sum in one of them
+    alone, which is as much as their sizes or their parities differ at least.
+    """
+
+    def folded(p: Column, other: Column) -> Column:  # sizes of near sets are within one doubling
+        half = F.floor(F.size(p) / 2).cast("int")
+        return F.when(F.size(p) > F.size(other), F.zip_with(F.slice(p, 1, half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(p)
+
+    bits = F.zip_with(folded(parities, other_parities), folded(other_parities, parities), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    alone = (size + other_size) * (UNDER - OVER)
+    return (F.abs(size - other_size) * (UNDER + OVER) <= alone) & (F.aggregate(bits, F.lit(0), lambda total, n: total + n) * (UNDER + OVER) <= alone)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes with their Jaccard similarity, from their whole sets; a class with very many pairs is spread."""
     for end in ("a", "b"):
@@ -277,7 +302,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
        the bucket's own; this makes most of a large group one component.
     4. Those of a bucket that are not in one component yet are compared with one another, in
        chunks that are spread, if they have NEAR_FIRST in common with the bucket's first: so
-       a passage that many texts hold doesn't bring them all together.  Near copies that
+       a passage that many texts hold doesn't bring them all together.  Pairs that can't be
+       near (``may_be_near``, no estimate) are left out before their sets are fetched.  Near copies that
        fall below it have other shingles in common, and with these other samples: at worst,
        for texts of which three quarters are such a passage, they are found with 0.997.
 
@@ -312,11 +338,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, part in text_parts(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists([shingle_set(t, shingle).view(np.int64) for t in part])], names=["sig", "shingles"])
+                made = [shingle_set(t, shingle) for t in part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists([m.view(np.int64) for m in made]), _lists([parity(m) for m in made])], names=["sig", "shingles", "parities"])
 
     read = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted_id"])).select("sig", "text", "n")
     once = read.where("n = 1").drop("n").unionByName(read.where("n > 1").drop("n").dropDuplicates(["sig"]))  # a row may repeat as it is
-    sets = stored(once.mapInArrow(whole_sets, "sig long, shingles array<long>"), "shingle_sets")
+    sets = stored(once.mapInArrow(whole_sets, "sig long, shingles array<long>, parities array<long>"), "shingle_sets")
     compared = stored(_compared(pairs, sets), "compared_pairs")
     edges = compared.where(F.col("similarity") >= OVER / UNDER).select("a", "b")
 
@@ -325,9 +352,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     open_ = shared.join(close, ["first", "sig"]).join(united.withColumnRenamed("node", "sig"), "sig", "left").select("bucket", "sig", F.coalesce("root", "sig").alias("root"))
     open_ = stored(open_, "near_first")
     split = stored(open_.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", F.ceil(F.col("n") / CHUNK).alias("k"), "n"), "split_buckets")
-    left = stored(skew_join(open_, split, ["bucket"], "n").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("k"))), "split_classes")
-    spread = left.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"), F.col("sig").alias("b"), F.col("root").alias("b_root"))
-    across = stored(left.join(spread, ["bucket", "chunk"]).where("root < b_root").select(F.col("sig").alias("a"), "b").distinct(), "open_pairs")
+    left = stored(skew_join(open_, split, ["bucket"], "n").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("k"))).join(sets.select("sig", F.size("shingles").alias("size"), "parities"), "sig"), "split_classes")
+    spread = left.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("chunk"), F.col("sig").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), F.col("parities").alias("b_parities"))
+    may = may_be_near(F.col("size"), F.col("parities"), F.col("b_size"), F.col("b_parities"))
+    across = stored(left.join(spread, ["bucket", "chunk"]).where(F.col("root") < F.col("b_root")).where(may).select(F.col("sig").alias("a"), "b").distinct(), "open_pairs")
     more = _compared(across, sets).where(F.col("similarity") >= OVER / UNDER).select("a", "b")
     roots = components(edges.unionByName(more))
 
